@@ -12,13 +12,17 @@ import re
 from functools import lru_cache
 
 import numpy as np
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 #: Unicode's White_Space, as the tokenizer's pattern sees it (Python's \s has four control characters more).
 WHITE = "\t-\r \x85\xa0  -     　"
 CHUNK = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
 
+#: The run of characters at a word's end that are neither letters nor digits.
+TAIL = re.compile(r"[\W_]*$")
+
+
 def word_keys(text: str) -> list[str]:
     """Cut a text into words that can be tokenized alone. ``raw_word`` gives a key's text; their concatenation is the text.
 
@@ -126,32 +130,49 @@ class LibraryWords(WordTable):
         self.dtype = np.dtype("<u2" if len(table) <= 1 << 16 else "<u4")
         self.lengths = np.array([len(x) for x in table], dtype=np.int64)
         self.specials = list(special_ids(path))
+        self.pieces = Tokenizer(self.tok.model)
+        self.pieces.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.letters = {b: c for c, b in byte_alphabet().items()} | {0xFF: " "}  # 0xFF is in no UTF-8
 
     def _alone(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
 
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Words that the pattern leaves whole, in the vocabulary's own letters: the library's model merges a run of them at once,
+        and byte lengths tell where each begins."""
+        out: list[bytes] = []
+        for at in range(0, len(pieces), 512):
+            coded = [x.encode() for x in pieces[at : at + 512]]
+            e = self.pieces.encode(b"\xff".join(coded).decode("latin-1").translate(self.letters), add_special_tokens=False)
+            ids = np.array(e.ids, dtype=self.dtype)
+            cuts = 1 + np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(list(map(len, coded))))
+            data, begin = ids.tobytes(), 0
+            for cut in (cuts * self.dtype.itemsize).tolist():
+                out.append(data[begin:cut])
+                begin = cut
+        return out
+
     def resolve(self, words: list[str]) -> list[bytes]:
-        """Words that begin with a blank or a line feed are encoded in lines of some hundred, which is the library's fast way;
-        byte lengths tell where each begins. Others are encoded one by one."""
+        """To the pattern, a blank with letters is one piece, a line feed before letters another, and so is what follows them if it
+        holds no letter or digit. Words of such pieces are put together; others go to the library one by one."""
+        heads, bodies, tails, plain = [], [], [], []
+        for n, w in enumerate(words):
+            cut = TAIL.search(w).start()
+            feed = w[0] == "\n"
+            body = w[feed:cut]
+            if body.isalpha() or body[:1] == " " and body[1:].isalpha():
+                plain.append(n)
+                heads.append("\n" * feed)
+                bodies.append(body)
+                tails.append(w[cut:])
+        ends = list({*heads, *tails} - {""})
+        coded = {"": b""} | dict(zip(ends, self._alone(ends), strict=True))
         out: list[bytes | None] = [None] * len(words)
-        joined = [n for n, w in enumerate(words) if len(w) > 1 and w[0] in " \n" and w[1] not in " \n" and w.isprintable() | (w[0] == "\n" and w[1:].isprintable())]
-        for at in range(0, len(joined), 512):
-            run = joined[at : at + 512]
-            (e,) = self.tok.encode_batch_fast(["".join(words[n] for n in run)], add_special_tokens=False)
-            ids = np.array(e.ids, dtype=self.dtype)
-            ends = np.cumsum(self.lengths[ids])
-            stops = np.cumsum([len(words[n].encode()) for n in run])
-            cuts = np.searchsorted(ends, stops)
-            if not np.array_equal(ends[cuts], stops):
-                continue  # a word that the library joins with its neighbour; each is encoded alone below
-            begin = 0
-            for n, cut in zip(run, cuts.tolist(), strict=True):
-                out[n] = ids[begin : cut + 1].tobytes()
-                begin = cut + 1
+        for n, head, x, tail in zip(plain, heads, self._pieces(bodies), tails, strict=True):
+            out[n] = coded[head] + x + coded[tail]
         rest = [n for n, x in enumerate(out) if x is None]
-        if rest:
-            for n, x in zip(rest, self._alone([words[n] for n in rest]), strict=True):
-                out[n] = x
+        for n, x in zip(rest, self._alone([words[n] for n in rest]), strict=True):
+            out[n] = x
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
