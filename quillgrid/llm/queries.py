@@ -81,10 +81,10 @@ scored AS (
   FROM rowed LEFT JOIN sums USING (r)),
 bins AS (
   SELECT bin, sum(good) AS a, sum(1 - good) AS r FROM (SELECT score_bin AS bin, good FROM scored WHERE good IS NOT NULL AND held) GROUP BY bin),
-some AS (SELECT bin, sum(a) AS a, sum(r) AS r FROM (SELECT * FROM bins UNION ALL SELECT 0, 0, 0) GROUP BY bin),
+filled AS (SELECT bin, sum(a) AS a, sum(r) AS r FROM (SELECT * FROM bins UNION ALL SELECT 0, 0, 0) GROUP BY bin),
 curve AS (
   SELECT bin, sum(a) OVER () - coalesce(sum(a) OVER up, 0) AS a_ge, coalesce(sum(r) OVER up, 0) AS r_lt, sum(a) OVER () AS na, sum(r) OVER () AS nr
-  FROM some WINDOW up AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  FROM filled WINDOW up AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 best AS (SELECT bin FROM curve ORDER BY a_ge * nr + r_lt * na DESC, abs(bin), bin LIMIT 1)
 SELECT page_id, host, path, rule, CASE WHEN good = 1 THEN 'allow' WHEN good = 0 THEN 'block' WHEN coalesce(url, '') = '' THEN 'block'
   WHEN score_bin >= (SELECT bin FROM best) THEN 'allow' ELSE 'block' END AS verdict, score_bin
