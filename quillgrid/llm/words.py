@@ -19,6 +19,7 @@ WHITE = "\t-\r \x85\xa0  -     　"
 CHUNK = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
 
+BLANK = re.compile(f"[{WHITE}]*")
 #: The run of characters at a word's end that are neither letters nor digits.
 TAIL = re.compile(r"[\W_]*$")
 
