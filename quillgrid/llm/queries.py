@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import rule_ledger, url_filter
+from . import bpe_rounds, hd_langid, histogram_sort, media_store, packing, prefix_counts, rans_store, rule_ledger, simhash_grid, url_filter
+
+
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +22,38 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return histogram_sort.shard(table(spark, sf_dir, "documents"), 16)
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_grid.groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rans_store.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_store.store_and_read(table(spark, sf_dir, "documents"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_rounds.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hd_langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = rule_ledger.apply_policy(rule_ledger.measure(table(spark, sf_dir, "documents").select("doc_id", "text")))
     base = F.col("fail_bits").bitwiseAND(rule_ledger.mask(1)) != 0
@@ -26,6 +62,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_sharding": op2_sharding,
+    "op3_simhash": op3_simhash,
+    "op4_token_counts": op4_token_counts,
+    "op5_token_store": op5_token_store,
+    "op6_media_columns": op6_media_columns,
+    "op7_packing": op7_packing,
+    "op8_bpe": op8_bpe,
+    "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
 }
 
