@@ -2,10 +2,11 @@
 
 A fingerprint's 64 bits are cut into segments, and each segment's number of ones is a coordinate. Changing one bit moves one
 coordinate by one, so the Manhattan distance of two embeddings is at most the fingerprints' Hamming distance. Fingerprints
-within D bits are therefore within D in the embedding, and within D // 2 in the first or the second half of it. In a grid of
-unit cells, a range join on a half is an equality join: two points within r of each other both reach a cell within r - r // 2
-of themselves, so each emits the cells that near it, and cells that fall together give candidates. Candidates are verified by
-the exact Hamming distance, on distinct fingerprints only; copies of a fingerprint never multiply.
+within D bits are therefore within D in the embedding, and if it is cut into parts, within their share of D in one of them:
+two, with two parts for D up to 5 and three up to 8. In a grid of unit cells, a range join within two steps is an equality
+join: the two points have a cell within one step of both, so each emits its own cell and the next ones in each direction, and
+cells that fall together give candidates. Candidates are verified by the exact Hamming distance, on distinct fingerprints
+only; copies of a fingerprint never multiply.
 
 In a cell, components are grown from a pivot: each member found is compared with those that are not yet in a component. A tight
 group costs its size, and yields an edge for each member rather than its pairs. Edges of all cells are joined to components by
@@ -25,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .shared import materialise, text_slices
 
@@ -64,34 +66,27 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     return rows.mapInArrow(run, f"k {kind}, fp long").withColumnRenamed("k", key)
 
 
-def cells(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """The grid cells within ``radius`` of each half's embedding: cell numbers, and the row of each."""
+def cells(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """The grid cells within one step of each part's embedding: cell numbers, and the row of each.
+
+    There are as many parts as leave at most two bits of ``distance`` to one of them.
+    """
     bits = np.unpackbits(fps.astype(">i8").view(np.uint8).reshape(-1, 8), axis=1)
     counts = bits.reshape(len(fps), BITS // SEGMENT, SEGMENT).sum(axis=2, dtype=np.int64)
-    half = counts.shape[1] // 2
-    power = (SEGMENT + 1) ** np.arange(half, dtype=np.int64)
+    parts = np.array_split(np.arange(BITS // SEGMENT), max(2, distance // 3 + 1))
     rows = np.arange(len(fps))
     out_cells, out_rows = [], []
-    for side in (0, 1):
-        point = counts[:, side * half : (side + 1) * half]
-        reach = [(point, rows)]
-        for _ in range(radius):
-            near = [reach[-1]]
-            p, r = reach[-1]
-            for c in range(half):
-                for step in (-1, 1):
-                    ok = (p[:, c] + step >= 0) & (p[:, c] + step <= SEGMENT)
-                    q = p[ok].copy()
-                    q[:, c] += step
-                    near.append((q, r[ok]))
-            reach.append((np.concatenate([x for x, _ in near]), np.concatenate([x for _, x in near])))
-        p, r = reach[-1]
-        cell = (p @ power) * 2 + side
-        if radius > 1:
-            pairs = np.unique(np.stack([cell, r], axis=1), axis=0)
-            cell, r = pairs[:, 0], pairs[:, 1]
-        out_cells.append(cell)
-        out_rows.append(r)
+    for part, columns in enumerate(parts):
+        point = counts[:, columns]
+        power = (SEGMENT + 1) ** np.arange(len(columns), dtype=np.int64)
+        own = point @ power
+        near, of = [own], [rows]
+        for c, step in ((c, step) for c in range(len(columns)) for step in (-1, 1)):
+            ok = (point[:, c] + step >= 0) & (point[:, c] + step <= SEGMENT)
+            near.append(own[ok] + step * power[c])
+            of.append(rows[ok])
+        out_cells.append(np.concatenate(near) * len(parts) + part)
+        out_rows.append(np.concatenate(of))
     return np.concatenate(out_cells), np.concatenate(out_rows)
 
 
@@ -118,14 +113,12 @@ def grow(fps: np.ndarray, distance: int) -> np.ndarray:
 def links(nodes: DataFrame, distance: int) -> DataFrame:
     """Edges (u, v) with u > v between distinct fingerprints, enough to connect all that are within ``distance`` over any path.
     ``nodes`` has the distinct ``fp``."""
-    radius = (distance // 2 + 1) // 2
-
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column("fp").to_numpy(zero_copy_only=False)
             for start in range(0, len(fps), 4096):
                 part = fps[start : start + 4096]
-                cell, row = cells(part, radius)
+                cell, row = cells(part, distance)
                 yield pa.record_batch([pa.array(cell), pa.array(part[row])], names=["cell", "fp"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,3 +200,16 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     named = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_fp = rooted.join(named, "root").select("fp", "component_id")
     return rows.join(of_fp, "fp").select(F.col("k").alias(key), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 2, distance: int = 7) -> DataFrame:
+    """``docs`` with one row of each group, the one with the smallest key, and all its columns.
+
+    Of rows that repeat key and text one stays. Keys are matched null for null.
+    """
+    least = F.lit(-(1 << 63))
+    found = groups(docs, key, text, words, distance).select(F.coalesce(F.col(f"`{key}`").cast("long"), least).alias("__k"), F.coalesce("component_id", least).alias("__c"))
+    kept = found.filter("__k = __c").select("__k").distinct()
+    rows = docs.withColumn("__k", F.coalesce(F.col(f"`{key}`").cast("long"), least)).join(kept, "__k", "left_semi")
+    first = F.row_number().over(W.partitionBy("__k").orderBy(F.xxhash64(F.col(f"`{text}`")))) == 1
+    return rows.withColumn("__first", first).filter("__first").select(*(F.col(f"`{c}`") for c in docs.columns))
