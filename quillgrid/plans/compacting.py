@@ -12,8 +12,8 @@ from ..registry import query
 from .deduplicating import ISLANDS, LINES
 
 FLAGSHIP = f"""WITH h AS (SELECT doc_id, source, text, min(doc_id) OVER (PARTITION BY sha256(text)) AS first_id FROM documents), t AS (SELECT doc_id, text FROM h WHERE doc_id = first_id),
-{ISLANDS.format(k="doc_id", lines=LINES)}, c AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) || CASE WHEN bool_or(tail) THEN chr(10) ELSE '' END AS text FROM n WHERE rn <= 3 GROUP BY doc_id),
-l2 AS (SELECT doc_id, tail, unnest(s) AS line, generate_subscripts(s, 1) - 1 AS pos FROM (SELECT doc_id, {LINES} AS s, ends_with(text, chr(10)) AS tail FROM c)),
+{ISLANDS.format(k="doc_id", lines=LINES)}, cc AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) || CASE WHEN bool_or(tail) THEN chr(10) ELSE '' END AS text FROM n WHERE rn <= 3 GROUP BY doc_id),
+l2 AS (SELECT doc_id, tail, unnest(s) AS line, generate_subscripts(s, 1) - 1 AS pos FROM (SELECT doc_id, {LINES} AS s, ends_with(text, chr(10)) AS tail FROM cc)),
 n2 AS (SELECT *, array_to_string(list_filter(regexp_split_to_array(line, '\\s+'), lambda x: x <> ''), ' ') AS norm FROM l2),
 f2 AS (SELECT *, min(pos) OVER (PARTITION BY doc_id, norm) AS first FROM n2),
 o AS (SELECT doc_id, string_agg(CASE WHEN strlen(norm) >= 12 AND first < pos THEN '[→L' || (first + 1) || ']' ELSE line END, chr(10) ORDER BY pos) || CASE WHEN bool_or(tail) THEN chr(10) ELSE '' END AS out FROM f2 GROUP BY doc_id),
