@@ -11,10 +11,10 @@ SKIPPED = ("node_modules", "target", "dist", "build", "__pycache__", "vendor")
 
 def read_texts(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     """path, text: a row for each file, read whole."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return reader.load(path).select("path", F.decode("content", F.lit("UTF-8")).alias("text"))
 
 
 def list_files(spark: SparkSession, path: str, max_depth: int = 10) -> DataFrame:
