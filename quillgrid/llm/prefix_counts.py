@@ -38,7 +38,7 @@ NEVER = 1 << 40
 class PrefixRows(WordTable):
     """For each word, the token count at each of its byte prefixes, from 0; the last is the word's own count."""
 
-    def __init__(self, path: str, max_words: int = 300_000, max_pairs: int = 1_000_000):
+    def __init__(self, path: str, max_words: int = 800_000, max_pairs: int = 1_000_000):
         super().__init__(max_words)
         d = description(path)
         if d["model"]["type"] != "BPE" or d["pre_tokenizer"]["type"] != "ByteLevel":
@@ -119,7 +119,10 @@ class PrefixRows(WordTable):
         return [self.total(w) for w in words]
 
     def total(self, word: str) -> int:
-        return self.row(word)[-1]
+        """The last of a word's counts. A blank with letters is one piece to the pattern."""
+        if word[:1] == " " and word[1:].isalpha():
+            return self.piece(word.encode())[-1]
+        return sum(self.piece(p.encode())[-1] for p in self.cut.findall(word))
 
 
 @lru_cache(maxsize=2)
