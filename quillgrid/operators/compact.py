@@ -9,7 +9,7 @@ from dataclasses import asdict, dataclass, fields
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import token_estimate
+from ..functions.text import let, token_estimate
 from . import classify, dedup, textops, verify
 from .entropy import char_entropy_of
 
@@ -68,14 +68,19 @@ def register(stage: Stage) -> None:
 
 
 def chain(df: DataFrame, text: str, preset: Preset, out: str = "compacted") -> DataFrame:
-    """All stages in turn; ``stages`` lists those that changed the text."""
-    df = df.withColumn(out, F.col(text)).withColumn("stages", F.array().cast("array<string>"))
+    """All stages in turn; ``stages`` lists those that changed the text. One nested expression, so each stage runs once a row."""
+    state = F.struct(F.col(text).alias("t"), F.array().cast("array<string>").alias("done"))
+
+    def after(state: Column, stage: Stage) -> Column:
+        def run(held: Column) -> Column:
+            return let(stage.apply(held["t"], preset), lambda new: F.struct(new.alias("t"), F.when(new != held["t"], F.concat(held["done"], F.array(F.lit(stage.name)))).otherwise(held["done"]).alias("done")))
+
+        return let(state, run)
+
     for s in sorted(STAGES, key=lambda s: s.priority):
-        if s.name in preset.off:
-            continue
-        df = df.withColumn("__next", s.apply(F.col(out), preset))
-        df = df.withColumn("stages", F.when(F.col("__next") != F.col(out), F.concat("stages", F.array(F.lit(s.name)))).otherwise(F.col("stages"))).withColumn(out, F.col("__next")).drop("__next")
-    return df
+        if s.name not in preset.off:
+            state = after(state, s)
+    return df.withColumn("__state", state).select("*", F.col("__state.t").alias(out), F.col("__state.done").alias("stages")).drop("__state")
 
 
 def compact(df: DataFrame, key: str, text: str, preset: Preset = Preset()) -> DataFrame:

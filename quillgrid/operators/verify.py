@@ -47,7 +47,7 @@ def numeric_values(old: Column, new: Column) -> Column:
     return F.forall(F.slice(runs, 1, 10), lambda x: F.contains(new, x))
 
 
-TOKEN = re.compile(r"`([^`\n]{1,200})`|\b[A-Z][A-Z0-9]*_[A-Z0-9_]+\b|https?://[^\s\"'<>)]+|(?:[\w.-]+)?(?:/[\w.-]+)+/?|\bv?\d+\.\d+\.\d+(?:[-+][\w.]+)?\b")
+TOKEN = re.compile(r"`([^`\n]{1,200})`|\b[A-Z][A-Z0-9]*_[A-Z0-9_]+\b|https?://[^\s\"'<>)]+|(?<![\w.-])(?:[\w.-]+)?(?:/[\w.-]+)+/?|\bv?\d+\.\d+\.\d+(?:[-+][\w.]+)?\b")
 
 
 def identifier_tokens(text: str, most: int = 500) -> list[str]:

@@ -89,25 +89,29 @@ def simhash_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _MINS = ", ".join(f"min((b * {(2 * i + 1) * 7919} + {i * 104729}) % 2147483647) AS m{i}" for i in range(64))
 _BANDS = " UNION ALL ".join("SELECT item_id, " + str(b) + " AS band, md5(" + " || ',' || ".join(f"m{i}" for i in range(8 * b, 8 * b + 8)) + ") AS bucket FROM m" for b in range(8))
-MINHASH = f"""WITH g AS (SELECT DISTINCT item_id, substr(text, i, 3) AS g FROM (SELECT item_id, text, unnest(range(1, length(text) - 1)) AS i FROM benchmark WHERE length(text) >= 3)),
+MINHASH = f"""WITH turns AS (SELECT conv_id * 100 + turn AS item_id, text FROM conversations), g AS (SELECT DISTINCT item_id, substr(text, i, 3) AS g FROM (SELECT item_id, text, unnest(range(1, length(text) - 1)) AS i FROM turns WHERE length(text) >= 3)),
 h AS (SELECT item_id, CAST('0x' || substr(md5(g), 1, 7) AS BIGINT) AS b FROM g), m AS (SELECT item_id, {_MINS} FROM h GROUP BY item_id), bands AS ({_BANDS})"""
 
 
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("item_id"), "text")
+
+
 @query(f"{MINHASH} SELECT * FROM bands")
 def minhash_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.bands(D.minhash(table(spark, sf_dir, "benchmark"), "item_id"), "item_id")
+    return D.bands(D.minhash(turns(spark, sf_dir), "item_id"), "item_id")
 
 
 @query(f"""{MINHASH}, l AS (SELECT band, bucket, min(item_id) AS a FROM bands GROUP BY band, bucket HAVING count(*) > 1)
 SELECT DISTINCT a, item_id AS b FROM bands JOIN l USING (band, bucket) WHERE item_id <> a""")
 def lsh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.lsh_candidates(D.bands(D.minhash(table(spark, sf_dir, "benchmark"), "item_id"), "item_id"), "item_id")
+    return D.lsh_candidates(D.bands(D.minhash(turns(spark, sf_dir), "item_id"), "item_id"), "item_id")
 
 
 @query(f"""{MINHASH} SELECT x.item_id AS a, y.item_id AS b, round(({" + ".join(f"(x.m{i} = y.m{i})::INT" for i in range(64))}) / 64.0, 6)::DOUBLE AS jaccard
 FROM m x JOIN m y ON y.item_id = x.item_id + 1""")
 def signature_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = D.minhash(table(spark, sf_dir, "benchmark"), "item_id")
+    m = D.minhash(turns(spark, sf_dir), "item_id")
     other = m.select((F.col("item_id") - 1).alias("item_id"), F.col("signature").alias("s2"))
     return m.join(other, "item_id").select(F.col("item_id").alias("a"), (F.col("item_id") + 1).alias("b"), F.round(D.signature_jaccard(F.col("signature"), F.col("s2")), 6).alias("jaccard"))
 
