@@ -33,6 +33,8 @@ from .shared import materialise, text_slices
 BITS, SEGMENT = 64, 2
 #: Runs of a cell up to this length are compared pair by pair in one sweep over the batch.
 SHORT = 8
+#: Shares into which the nodes of a label are dealt.
+SALTS = 16
 
 
 def fingerprint(text: str | None, words: int) -> int:
@@ -172,13 +174,20 @@ def components(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     labels = materialise(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label")))
 
+    def relabel(labels: DataFrame, moves: DataFrame) -> DataFrame:
+        """Labels with those of ``moves`` (label, next) replaced. A label may hold a third of all nodes, so its nodes are salted."""
+        salts = F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt")
+        salted = labels.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+        return materialise(salted.join(moves.select("label", "next", salts), ["label", "salt"], "left").select("node", F.coalesce("next", "label").alias("label")))
+
     def jump(labels: DataFrame) -> DataFrame:
+        """Each node gets its label's label, until labels are their own. Only distinct labels are looked up."""
         while True:
-            next_ = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-            jumped = materialise(labels.join(next_, "label").select("node", F.col("next").alias("label"), (F.col("next") != F.col("label")).alias("moved")))
-            labels = jumped.select("node", "label")
-            if not jumped.filter("moved").limit(1).count():
+            used = labels.groupBy("label").agg(F.lit(1).alias("n")).select("label")
+            moves = materialise(used.join(labels.select(F.col("node").alias("label"), F.col("label").alias("next")), "label").filter("next <> label"))
+            if not moves.limit(1).count():
                 return labels
+            labels = relabel(labels, moves)
 
     while True:
         labels = jump(labels)
@@ -187,8 +196,7 @@ def components(edges: DataFrame) -> DataFrame:
         edges = materialise(open_.select(F.greatest("u_root", "v_root").alias("u"), F.least("u_root", "v_root").alias("v")).groupBy("u", "v").agg(F.lit(1).alias("n")).select("u", "v"))
         if not edges.limit(1).count():
             return labels
-        hooks = edges.groupBy("u").agg(F.min("v").alias("hook")).withColumnRenamed("u", "label")
-        labels = materialise(labels.join(hooks, "label", "left").select("node", F.coalesce("hook", "label").alias("label")))
+        labels = relabel(labels, edges.groupBy(F.col("u").alias("label")).agg(F.min("v").alias("next")))
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, distance: int = 4) -> DataFrame:
