@@ -14,7 +14,7 @@ def read_texts(spark: SparkSession, path: str, pattern: str | None = None) -> Da
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    return reader.load(path).select("path", F.decode("content", F.lit("UTF-8")).alias("text"))
+    return reader.load(path).select("path", F.decode("content", "UTF-8").alias("text"))
 
 
 def list_files(spark: SparkSession, path: str, max_depth: int = 10) -> DataFrame:
