@@ -25,8 +25,8 @@ from pyspark.sql.window import Window as W
 from .shared import materialise, text_slices, texts_of
 from .words import library_words
 
-#: Pieces that a block of the ranking holds on average.
-BLOCK_ROWS = 20_000
+#: Pieces that a block of the ranking holds on average, as long as there are at most so many blocks.
+BLOCK_ROWS, MOST_BLOCKS = 1_000, 100_000
 
 
 def cut_lengths(n: int, capacity: int) -> list[int]:
@@ -119,7 +119,7 @@ def pack_pieces(cut: DataFrame, key: str = "doc_id", capacity: int = 1024) -> Da
     spark = cut.sparkSession
     cut = materialise(cut.withColumn("__n", F.monotonically_increasing_id()))
     total = cut.count()
-    blocks = max(1, -(-total // BLOCK_ROWS))
+    blocks = min(MOST_BLOCKS, max(1, -(-total // BLOCK_ROWS)))
     cut = cut.withColumn("__b", F.pmod(F.xxhash64(F.col("__n")), F.lit(blocks)))
     counts = cut.groupBy("length", "__b").agg(F.count("*").alias("n"))
     sizes = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
