@@ -204,9 +204,12 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     rows = materialise(fingerprints(docs, key, text, words).withColumnRenamed(key, "k"))
     nodes = materialise(rows.groupBy("fp").agg(F.min("k").alias("rep")))
     labels = components(links(nodes, distance)).withColumnRenamed("node", "fp")
-    rooted = nodes.join(labels, "fp", "left").select("fp", "rep", F.coalesce("label", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_fp = rooted.join(named, "root").select("fp", "component_id")
+    linked = materialise(nodes.join(labels, "fp").select("fp", "rep", "label"))
+    named = linked.groupBy("label").agg(F.min("rep").alias("component_id"))
+    salts = F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt")  # a component may hold a third of all fingerprints
+    salted = linked.select("fp", "label", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int").alias("salt"))
+    found = salted.join(named.select("label", "component_id", salts), ["label", "salt"]).select("fp", "component_id")
+    of_fp = nodes.join(found, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
     return rows.join(of_fp, "fp").select(F.col("k").alias(key), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
