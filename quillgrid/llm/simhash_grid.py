@@ -26,9 +26,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from .shared import materialise, text_slices
+from .shared import materialise, shared_folder, text_slices
 
 BITS, SEGMENT = 64, 2
 #: Runs of a cell up to this length are compared pair by pair in one sweep over the batch.
@@ -213,14 +212,23 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     return rows.join(of_fp, "fp").select(F.col("k").alias(key), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number for each row, and the number's column. Written once, so that a row keeps its number when it is read again."""
+    number = "__row"
+    while number.lower() in {c.lower() for c in docs.columns}:
+        number += "_"
+    path = shared_folder(docs.sparkSession, "numbered")
+    docs.withColumn(number, F.monotonically_increasing_id()).write.parquet(path)
+    return docs.sparkSession.read.parquet(path), number
+
+
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 2, distance: int = 7) -> DataFrame:
-    """``docs`` with one row of each group, the one with the smallest key, and all its columns.
+    """``docs`` with one row of each group, and all its columns: the row with the smallest key, and of these the first.
 
-    Of rows that repeat key and text one stays. Keys are matched null for null.
+    Rows are told apart by a number of their own, so a key that is null or repeated joins nothing. Null keys come last.
     """
-    least = F.lit(-(1 << 63))
-    found = groups(docs, key, text, words, distance).select(F.coalesce(F.col(f"`{key}`").cast("long"), least).alias("__k"), F.coalesce("component_id", least).alias("__c"))
-    kept = found.filter("__k = __c").select("__k").distinct()
-    rows = docs.withColumn("__k", F.coalesce(F.col(f"`{key}`").cast("long"), least)).join(kept, "__k", "left_semi")
-    first = F.row_number().over(W.partitionBy("__k").orderBy(F.xxhash64(F.col(f"`{text}`")))) == 1
-    return rows.withColumn("__first", first).filter("__first").select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows, number = numbered(docs)
+    labels = groups(rows, number, text, words, distance).select(F.col(f"`{number}`").alias("n"), F.col("component_id").alias("label"))
+    keys = rows.select(F.col(f"`{number}`").alias("n"), F.col(f"`{key}`").alias("k"))
+    least = keys.join(labels, "n").groupBy("label").agg(F.min(F.struct(F.col("k").isNull().alias("last"), "k", "n")).alias("least"))
+    return rows.join(least.select(F.col("least.n").alias(number)), number, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -253,3 +253,10 @@ def test_stages_take_odd_rows(odd, spark):
     assert kept.columns == docs.columns
     ids = [r["doc_id"] for r in kept.collect()]
     assert 1 in ids and 2 not in ids and ids.count(7) == 1 and 100 in ids and 101 not in ids
+
+
+def test_representatives_with_null_and_repeated_ids(spark):
+    texts = [" ".join(f"w{m}x{n}" for m in range(30)) for n in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3]), (9, texts[4]), (None, texts[4]), (7, texts[4]), (8, texts[5])]
+    kept = simhash_grid.representatives(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert collections.Counter((r["doc_id"], r["text"]) for r in kept) == collections.Counter([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[4]), (8, texts[5])])
