@@ -11,15 +11,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm import hd_langid, packing, rule_ledger, simhash_grid
+from quillgrid.llm import hd_langid, packing, rule_ledger, shingle_join
 from quillgrid.llm.shared import shared_folder
 from quillgrid.shipping import ship
 
 #: Language scores are cosines put from -1..1 to 0..1; below this a text is like no language that was learned.
 LEAST_LANGUAGE_SCORE = 0.6
-#: Fingerprints of word pairs: edits change fewer of them than of longer shingles, so copies that share four fifths of their
-#: five-word shingles stay within these bits (README, "Pipeline").
-SHINGLE_WORDS, DISTANCE = 2, 7
+#: Documents are near copies if they share four fifths of their distinct five-word shingles.
+SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +35,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest doc_id."""
+    """One document of each near-duplicate group, the one with the smallest doc_id. Links are found and checked by the shingles
+    themselves: no fingerprint distance keeps all pairs of this similarity and no others."""
     ship(spark)
-    return simhash_grid.representatives(docs, words=SHINGLE_WORDS, distance=DISTANCE)
+    return shingle_join.representatives(docs, words=SHINGLE_WORDS, percent=SIMILARITY_PERCENT)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

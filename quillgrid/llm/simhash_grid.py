@@ -19,7 +19,7 @@ result; other columns, whatever their names, are left out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -222,13 +222,18 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     return docs.sparkSession.read.parquet(path), number
 
 
-def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 2, distance: int = 7) -> DataFrame:
+def first_of_groups(docs: DataFrame, key: str, grouped: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """``docs`` with one row of each group, and all its columns: the row with the smallest key, and of these the first.
 
-    Rows are told apart by a number of their own, so a key that is null or repeated joins nothing. Null keys come last.
+    ``grouped`` takes numbered rows and the number's column, and gives n, label for each number. Rows are told apart by that
+    number, so a key that is null or repeated joins nothing. Null keys come last.
     """
     rows, number = numbered(docs)
-    labels = groups(rows, number, text, words, distance).select(F.col(f"`{number}`").alias("n"), F.col("component_id").alias("label"))
     keys = rows.select(F.col(f"`{number}`").alias("n"), F.col(f"`{key}`").alias("k"))
-    least = keys.join(labels, "n").groupBy("label").agg(F.min(F.struct(F.col("k").isNull().alias("last"), "k", "n")).alias("least"))
+    least = keys.join(grouped(rows, number), "n").groupBy("label").agg(F.min(F.struct(F.col("k").isNull().alias("last"), "k", "n")).alias("least"))
     return rows.join(least.select(F.col("least.n").alias(number)), number, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 2, distance: int = 7) -> DataFrame:
+    """One row of each group of ``groups``."""
+    return first_of_groups(docs, key, lambda rows, number: groups(rows, number, text, words, distance).select(F.col(f"`{number}`").alias("n"), F.col("component_id").alias("label")))

@@ -14,7 +14,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quillgrid.llm import bpe_rounds, hd_langid, histogram_sort, media_store, packing, prefix_counts, queries, rans_store, rule_ledger, simhash_grid, url_filter
+from quillgrid.llm import bpe_rounds, hd_langid, histogram_sort, media_store, packing, prefix_counts, queries, rans_store, rule_ledger, shingle_join, simhash_grid, url_filter
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -260,3 +260,45 @@ def test_representatives_with_null_and_repeated_ids(spark):
     rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3]), (9, texts[4]), (None, texts[4]), (7, texts[4]), (8, texts[5])]
     kept = simhash_grid.representatives(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert collections.Counter((r["doc_id"], r["text"]) for r in kept) == collections.Counter([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[4]), (8, texts[5])])
+
+
+def jaccard_groups(texts, words=5):
+    """The least index in each text's group, by all pairs."""
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
+    label = list(range(len(sets)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if label[i] != label[j] and 5 * len(x & sets[j]) >= 4 * len(x | sets[j]):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if v == old else v for v in label]
+    return label
+
+
+def test_near_copies_by_exact_similarity(spark):
+    rng = np.random.default_rng(3)
+    common = " ".join(f"law{n}" for n in range(16))  # in every text: a long run of texts that are not alike
+    texts = []
+    for n in range(30):
+        w = [f"w{v}" for v in rng.integers(0, 10**6, int(rng.integers(5, 120)))]
+        texts.append(common + " " + " ".join(w))
+        for _ in range(int(rng.integers(0, 4))):  # copies on both sides of 0.8, also of copies
+            for at in rng.integers(0, len(w), max(1, len(w) // 40)):
+                w[at] = f"v{rng.integers(0, 10**6)}"
+            texts.append(common + " " + " ".join(w))
+    texts += [common, common.upper(), common + " end", None, "", " \n", "a b", "A  b", "a b c"]
+    texts += [" ".join(f"h{n}" if n != k else f"x{k}" for n in range(60)) for k in range(40)]  # a large group of near copies
+    order = rng.permutation(len(texts)).tolist()
+    rows = spark.createDataFrame([(n, texts[k]) for n, k in enumerate(order)], "n long, text string").repartition(3)
+    got = {r["n"]: r["label"] for r in shingle_join.groups(rows, "n", "text").collect()}
+    assert [got[n] for n in range(len(order))] == jaccard_groups([texts[k] for k in order])
+
+
+@needs_data
+def test_pipeline_dedup_is_exact(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id")
+    rows = docs.collect()
+    want = {rows[k]["doc_id"] for k in jaccard_groups([r["text"] for r in rows])}
+    assert sorted(r["doc_id"] for r in corpus_pipeline.simhash_dedup(spark, docs, SF).collect()) == sorted(want)
