@@ -39,10 +39,14 @@ RULES = (
     Rule(5, "long_words", "word_chars > 12 * n_words"),
 )
 
-#: Versions of the policy: the rules that reject.
+#: The rules with one that judges repeated lines by their share of the characters too, and only where there are several.
+ALL_RULES = (*RULES, Rule(6, "repeated_lines", "n_dup_lines >= 3 and 100 * n_dup_lines > 30 * n_lines and 100 * dup_line_chars > 10 * word_chars"))
+
+#: Versions of the policy: the rules that reject. Version 3 needs a ledger of ALL_RULES.
 POLICIES = {
     1: ("few_words", "repeated_passages"),
     2: ("few_words", "repeated_passages", "symbols", "duplicate_lines", "short_words", "long_words"),
+    3: ("few_words", "repeated_passages", "symbols", "repeated_lines", "short_words", "long_words"),
 }
 LATEST = 2
 
@@ -105,11 +109,20 @@ def measurements(text: Column) -> Column:
     return F.struct(_bind(words, of_words).alias("w"), _bind(lines, of_lines).alias("l"), _bind(bare, of_bare).alias("b"))
 
 
+def repeated_line_chars(text: Column) -> Column:
+    """Characters, white space left out, of lines that came before in the text."""
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.translate(x, SPACE + " ", "") != "")
+    chars = lambda x: F.length(F.translate(F.array_join(x, ""), SPACE + " ", ""))
+    return _bind(lines, lambda x: (chars(x) - chars(F.array_distinct(x))).cast("long"))
+
+
 def measure(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The ledger: the input's columns with measurements and ``fail_bits``, one bit for each failed rule."""
     m = F.col("`__m`")
     got = docs.withColumn("__m", measurements(F.col(f"`{text}`")))
     parts = {"n_words": m["w"]["n_words"], "word_chars": m["b"]["word_chars"], "n_symbols": m["b"]["n_symbols"], "n_lines": m["l"]["n_lines"], "n_dup_lines": m["l"]["n_dup_lines"], "n_repeat_words": m["w"]["n_repeat_words"]}
+    if any("dup_line_chars" in r.fails for r in rules):
+        parts["dup_line_chars"] = F.when(m["l"]["n_dup_lines"] >= 3, repeated_line_chars(F.col(f"`{text}`"))).otherwise(F.lit(0).cast("long"))
     taken = {k.lower() for k in parts} | {"fail_bits"}
     kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken or c == text]
     out = got.select(*kept, *(v.alias(k) for k, v in parts.items()))

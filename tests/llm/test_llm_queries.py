@@ -302,3 +302,10 @@ def test_pipeline_dedup_is_exact(spark):
     rows = docs.collect()
     want = {rows[k]["doc_id"] for k in jaccard_groups([r["text"] for r in rows])}
     assert sorted(r["doc_id"] for r in corpus_pipeline.simhash_dedup(spark, docs, SF).collect()) == sorted(want)
+
+
+def test_a_repeated_line_rejects_no_clean_document(spark):
+    body = " ".join(f"word{n}" for n in range(80))
+    texts = [f"See below\n{body}\nSee below", f"a title\na title\n{body}\na title", "\n".join(["buy the best things here now"] * 5 + [" ".join(f"word{n}" for n in range(40))]), body]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.quality_rules(spark, docs, SF).collect()) == [0, 1, 3]
