@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .shared import materialise, text_slices, texts_of
+from .rans_store import with_end
+from .shared import LARGE_SLICE, materialise, text_array, text_slices
 from .words import library_words
 
 #: Pieces that a block of the ranking holds on average, as long as there are at most so many blocks.
@@ -37,6 +38,15 @@ def cut_lengths(n: int, capacity: int) -> list[int]:
     return [first] * (first > 0) + [capacity] * (n // capacity)
 
 
+def cut_all(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``cut_lengths`` of all documents: for each piece its document, its number there and its length."""
+    each = -(-sizes // capacity)
+    row = np.repeat(np.arange(len(sizes)), each)
+    piece = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
+    first = np.where(sizes > 0, (sizes - 1) % capacity + 1, 0)
+    return row, piece, np.where(piece == 0, first[row], capacity)
+
+
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
     """Spans (size, first rank, count, first sequence, offset) that place ``counts[size]`` pieces of each size."""
     left = {s: n for s, n in counts.items() if n > 0}
@@ -96,20 +106,13 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = library_words(tokenizer)
-        end = np.array([end_id], dtype="<u4").tobytes()
-        for batch in text_slices(batches, "text"):
-            rows_of, piece, start, length, crc = [], [], [], [], []
-            for n, ids in enumerate(words.encode(texts_of(batch))):
-                data = ids.astype("<u4").tobytes() + end
-                at = 0
-                for k, size in enumerate(cut_lengths(len(ids) + 1, capacity)):
-                    rows_of.append(n)
-                    piece.append(k)
-                    start.append(at)
-                    length.append(size)
-                    crc.append(zlib.crc32(data[4 * at : 4 * (at + size)]))
-                    at += size
-            yield pa.record_batch([batch.column(0).take(pa.array(rows_of, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], names=["k", "piece", "start", "length", "ids_crc32"])
+        for batch in text_slices(batches, "text", LARGE_SLICE):
+            ids, at = with_end(*words.encode(text_array(batch)), end_id)
+            row, piece, length = cut_all(np.diff(at), capacity)
+            ends = np.cumsum(length)
+            data = memoryview(ids.astype("<u4")).cast("B")
+            crc = [zlib.crc32(data[a:b]) for a, b in zip((4 * (ends - length)).tolist(), (4 * ends).tolist(), strict=True)]
+            yield pa.record_batch([batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(ends - length - at[row]), pa.array(length), pa.array(crc, pa.int64())], names=["k", "piece", "start", "length", "ids_crc32"])
 
     return rows.mapInArrow(run, f"k {kind}, piece int, start long, length long, ids_crc32 long").withColumnRenamed("k", key)
 

@@ -4,7 +4,8 @@ In byte-pair encoding, a sequence of tokens is what merging gives exactly if eac
 tokens' bytes gives just these two. So the last token of a prefix of length i is the only token t that ends there and goes
 with the last token of the prefix that t leaves, and the count is one more than that prefix's. One pass over a word's bytes
 yields the count at each of its prefixes, without encoding any prefix anew. Words are the pieces between which the
-tokenizer's pattern always cuts (words.py); a table keeps the counts of distinct words, so its whole prefix row is computed once.
+tokenizer's pattern always cuts (words.py); a table keeps distinct words' counts at all their prefixes. With the sums over
+words they are the counts at every prefix of a text: a budget is met by binary search over the sums and a look into one row.
 
 ``count_tokens`` gives a row for each row of the input. ``fit_bytes`` is the longest prefix, in bytes and at a character's
 end, of at most ``limit`` tokens; a prefix is cut as a text of its own, so white space at the cut counts as it would there.
@@ -17,16 +18,18 @@ that token, and every prefix that ends within it as ordinary text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .shared import text_slices, texts_of
-from .words import BLANK, WordTable, byte_alphabet, description, raw_word, special_ids, token_bytes, word_keys
+from .shared import LARGE_SLICE, text_array, text_slices
+from .words import BLANK, MAX_WORDS, WHITE_SPACE, WordTable, byte_alphabet, description, raw_word, special_ids, special_texts, split_texts, token_bytes, word_keys
 
 #: The public pattern of this tokenizer family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -36,10 +39,10 @@ NEVER = 1 << 40
 
 
 class PrefixRows(WordTable):
-    """For each word, the token count at each of its byte prefixes, from 0; the last is the word's own count."""
+    """For each word, the token count at each of its byte prefixes; the last is the word's own count."""
 
-    def __init__(self, path: str, max_words: int = 800_000, max_pairs: int = 1_000_000):
-        super().__init__(max_words)
+    def __init__(self, path: str, max_words: int = MAX_WORDS, max_pairs: int = 1_000_000):
+        super().__init__("<u4", max_words)
         d = description(path)
         if d["model"]["type"] != "BPE" or d["pre_tokenizer"]["type"] != "ByteLevel":
             raise ValueError("a byte-level BPE tokenizer is needed")
@@ -107,22 +110,26 @@ class PrefixRows(WordTable):
         return counts[1:]
 
     def row(self, word: str) -> list[int]:
-        """Counts at the byte prefixes of a word, each cut within its last piece of the pattern."""
-        out, before = [0], 0
+        """Counts at the byte prefixes of a word, without the empty one. Each is the count of the prefix as a text of its own, at
+        every byte that ends a character: pieces before the one cut stay as they are, and the cut one is still one piece."""
+        if word[:1] == " " and word[1:].isalpha():
+            return self.piece(word.encode())
+        out, before = [], 0
         for piece in self.cut.findall(word):
             counts = self.piece(piece.encode())
-            out += [before + n for n in counts]
+            if piece[0] == "'" and len(piece) > 2 and piece[1:].isalpha():  # 're cut after the r is no such piece
+                counts[1] = counts[0] + self.piece(piece[1].encode())[-1]
+            out += [before + n for n in counts] if before else counts
             before = out[-1]
         return out
 
-    def resolve(self, words: list[str]) -> list[int]:
-        return [self.total(w) for w in words]
-
     def total(self, word: str) -> int:
-        """The last of a word's counts. A blank with letters is one piece to the pattern."""
-        if word[:1] == " " and word[1:].isalpha():
-            return self.piece(word.encode())[-1]
-        return sum(self.piece(p.encode())[-1] for p in self.cut.findall(word))
+        return self.row(word)[-1] if word else 0
+
+    def resolve(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        rows = list(map(self.row, words.to_pylist()))
+        sizes = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
+        return np.fromiter(chain.from_iterable(rows), dtype=self.dtype, count=int(sizes.sum())), sizes
 
 
 @lru_cache(maxsize=2)
@@ -131,43 +138,73 @@ def prefix_rows(path: str) -> PrefixRows:
 
 
 class Ledger:
-    """One text's token counts: at each word's end, and within a word on demand."""
+    """One text's token counts: at each word's end, and at each prefix of a word. Prefixes and budgets are looked up.
 
-    def __init__(self, rows: PrefixRows, text: str, specials: dict[str, int]):
-        self.rows, self.text = rows, text
-        self.words: list[str] = []
-        self.special: list[bool] = []
+    Only white space that a cut joins with white space before it, and a special token's string that is cut, are counted anew.
+    """
+
+    def __init__(self, words: list[str], special: list[bool], sums: np.ndarray, row: Callable[[int], np.ndarray], total: Callable[[str], int]):
+        self.words, self.special, self.sums, self.row, self.total = words, special, sums, row, total
+        self.ends = np.cumsum([0, *map(len, words)])
+
+    @classmethod
+    def of(cls, rows: PrefixRows, text: str, specials: dict[str, int]) -> Ledger:
+        words: list[str] = []
+        special: list[bool] = []
         for part, is_special in split_specials(text, specials):
             raws = [part] if is_special else list(map(raw_word, word_keys(part)))
-            self.words += raws
-            self.special += [is_special] * len(raws)
-        self.ends = np.cumsum([0, *map(len, self.words)])
-        self.sums = np.cumsum([0, *(1 if s else rows.total(w) for w, s in zip(self.words, self.special, strict=True))])
+            words += raws
+            special += [is_special] * len(raws)
+        counts = [[] if s else rows.row(w) for w, s in zip(words, special, strict=True)]
+        return cls(words, special, np.cumsum([0, *(c[-1] if c else 1 for c in counts)]), lambda n: np.array(counts[n]), rows.total)
+
+    def _joins(self, n: int) -> bool:
+        """Whether blanks at the beginning of word n are one piece with those before them."""
+        return n > 0 and not self.special[n - 1] and BLANK.fullmatch(self.words[n - 1][-1]) is not None
 
     def at(self, chars: int) -> int:
         """Tokens of the prefix of so many characters, as a text of its own."""
         n = int(np.searchsorted(self.ends, chars, side="right")) - 1
-        part = self.text[self.ends[n] : chars]
-        while n and BLANK.fullmatch(part) and not self.special[n - 1] and BLANK.fullmatch(self.words[n - 1][-1]):
-            n -= 1  # white space before the cut is a piece together with what precedes it
-            part = self.words[n] + part
-        if part and n < len(self.words) and self.special[n]:  # a cut special string is text, joined to what precedes it
+        part = "" if n == len(self.words) else self.words[n][: chars - self.ends[n]]
+        if part and self.special[n]:  # a cut special string is text, joined to what precedes it
             while n and not self.special[n - 1]:
                 n -= 1
                 part = self.words[n] + part
                 if not BLANK.fullmatch(self.words[n]):
                     break
-        return int(self.sums[n]) + sum(self.rows.total(raw_word(k)) for k in word_keys(part))
+            return int(self.sums[n]) + sum(self.total(raw_word(k)) for k in word_keys(part))
+        if self._joins(n) and BLANK.fullmatch(part):
+            while self._joins(n):
+                n -= 1
+                part = self.words[n] + part
+                if not BLANK.fullmatch(self.words[n]):
+                    break
+            return int(self.sums[n]) + sum(self.total(raw_word(k)) for k in word_keys(part))
+        return int(self.sums[n]) + (int(self.row(n)[len(part.encode()) - 1]) if part else 0)
+
+    def _within(self, n: int, limit: int) -> int:
+        """The most characters of a prefix that ends inside word n and keeps to the limit, or 0."""
+        word, start = self.words[n], int(self.ends[n])
+        if self.special[n]:
+            return next((start + c for c in range(len(word) - 1, 0, -1) if self.at(start + c) <= limit), 0)
+        ends = np.arange(1, len(word)) if word.isascii() else np.cumsum(np.fromiter((len(c.encode()) for c in word[:-1]), dtype=np.int64, count=len(word) - 1))
+        blanks = len(word) - len(word.lstrip(WHITE_SPACE)) if self._joins(n) else 0
+        fits = np.flatnonzero(self.row(n)[ends - 1] <= limit - self.sums[n]) if len(word) > 1 else []
+        if len(fits) and fits[-1] >= blanks:
+            return start + 1 + int(fits[-1])
+        return next((start + c for c in range(min(blanks, len(word) - 1), 0, -1) if self.at(start + c) <= limit), 0)
 
     def fit(self, limit: int) -> int:
-        """The most characters of which the prefix has at most ``limit`` tokens. Prefixes at words' ends are looked up, then those
-        of the words around the limit are counted."""
+        """The most characters of which the prefix has at most ``limit`` tokens: binary search finds the word, its counts the rest.
+        Cutting a text can save two tokens at most where white space joins, so the search begins two above the limit."""
         if limit < 0:
             return 0
-        most = min(int(np.searchsorted(self.sums, limit + 2, side="right")), len(self.ends) - 1)
-        for chars in range(int(self.ends[most]), -1, -1):
-            if self.at(chars) <= limit:
-                return chars
+        most = min(int(np.searchsorted(self.sums, limit + 2, side="right")), len(self.words))
+        for n in range(most, 0, -1):
+            if self.at(int(self.ends[n])) <= limit:
+                return int(self.ends[n])
+            if inside := self._within(n - 1, limit):
+                return inside
         return 0
 
 
@@ -188,42 +225,29 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, specials = prefix_rows(path), special_ids(path)
-        for batch in text_slices(batches, "text"):
-            texts = texts_of(batch)
-            keys, ends = [], []
-            for t in texts:
-                if not any(s in t for s in specials):
-                    keys += word_keys(t)
-                ends.append(len(keys))
-            counts = np.fromiter(table.look_up(keys), dtype=np.int64, count=len(keys))
-            sums = np.concatenate([[0], np.cumsum(counts)])
-            n_tokens, fit, start = [], [], 0
-            for t, end in zip(texts, ends, strict=True):
-                n = int(sums[end] - sums[start])
-                plain = not any(s in t for s in specials)
-                if not plain:
-                    n = int(Ledger(table, t, specials).sums[-1])
-                n_tokens.append(n)
-                if n <= limit:
-                    fit.append(len(t.encode()))
-                elif not plain:
-                    fit.append(len(t[: Ledger(table, t, specials).fit(limit)].encode()))
-                else:  # only the words around the limit are needed
-                    most = start + int(np.searchsorted(sums[start : end + 1] - sums[start], limit + 2, side="right"))
-                    near = list(map(raw_word, keys[start : min(most, end)]))
-                    head = "".join(near)
-                    fit.append(len(t[: _fit(table, head, near, sums[start : min(most, end) + 1] - sums[start], limit)].encode()))
-                start = end
-            yield pa.record_batch([batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens]), pa.array(fit, pa.int64())], names=["k", "n_bytes", "n_tokens", "over_limit", "fit_bytes"])
+        for batch in text_slices(batches, "text", LARGE_SLICE):
+            texts = text_array(batch)
+            n_bytes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+            special = special_texts(texts, list(specials))
+            plain = pc.replace_with_mask(texts, pa.array(np.isin(np.arange(len(texts)), special)), pa.scalar("", texts.type)) if len(special) else texts
+            keys, bounds = split_texts(plain)
+            coded = keys.dictionary_encode()
+            codes = coded.indices.to_numpy(zero_copy_only=False)
+            numbers = table.look_up(coded.dictionary)[codes]
+            sums = np.concatenate([[0], np.cumsum(table.last(numbers), dtype=np.int64)])
+            n_tokens, fit = np.diff(sums[bounds]), n_bytes.copy()
+            for n in np.flatnonzero(n_tokens > limit).tolist():  # of a long text only the words up to the limit are needed
+                start, end = int(bounds[n]), int(bounds[n + 1])
+                end = min(end, start + 1 + int(np.searchsorted(sums[start:end] - sums[start], limit + 2, side="right")))
+                words = list(map(raw_word, keys.slice(start, end - start).to_pylist()))
+                row = lambda k, start=start: table.values(numbers[start + k : start + k + 1]).astype(np.int64)
+                ledger = Ledger(words, [False] * len(words), sums[start : end + 1] - sums[start], row, table.total)
+                fit[n] = len("".join(words)[: ledger.fit(limit)].encode())
+            for n in special.tolist():
+                text = texts[n].as_py()
+                ledger = Ledger.of(table, text, specials)
+                n_tokens[n] = ledger.sums[-1]
+                fit[n] = n_bytes[n] if n_tokens[n] <= limit else len(text[: ledger.fit(limit)].encode())
+            yield pa.record_batch([batch.column(0), pa.array(n_bytes), pa.array(n_tokens), pa.array(n_tokens > limit), pa.array(fit)], names=["k", "n_bytes", "n_tokens", "over_limit", "fit_bytes"])
 
     return rows.mapInArrow(run, f"k {kind}, {SCHEMA}").withColumnRenamed("k", key)
-
-
-def _fit(table: PrefixRows, text: str, words: list[str], sums: np.ndarray, limit: int) -> int:
-    ledger = Ledger.__new__(Ledger)
-    ledger.rows, ledger.text, ledger.words, ledger.special = table, text, words, [False] * len(words)
-    ledger.ends, ledger.sums = np.cumsum([0, *map(len, words)]), sums
-    for chars in range(len(text), -1, -1):
-        if ledger.at(chars) <= limit:
-            return chars
-    return 0

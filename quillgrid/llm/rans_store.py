@@ -6,7 +6,8 @@ Every CHECKPOINT steps the block holds all lanes' states and the stream's positi
 and each segment has a checksum of its ids. Groups hold whole documents in ascending order of their id, over numbered parts
 that are ranges of the id; a part's files are ordinary Parquet, written by Spark and so committed once per task.
 
-A group is closed at GROUP ids, which bounds the memory of writer and reader.
+A group is closed at GROUP ids, which bounds the memory of writer and reader; a longer document is a group of its own, and
+needs memory in proportion to its text, which a row holds anyway.
 
 Defined cases: a null or empty text has the end id alone; a null doc_id sorts first; repeated rows and equal doc_ids are
 stored each, in no fixed order among themselves; an empty table gives an empty store; other columns are left out.
@@ -24,14 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .shared import shared_folder, text_slices, texts_of
+from .shared import LARGE_SLICE, shared_folder, text_array, text_slices
 from .words import library_words
 
 SCALE = 20  # frequencies sum to 2**SCALE; a vocabulary may have as many ids at most
 LOW = np.uint64(1 << 31)
-LANES, CHECKPOINT = 2048, 64
-BLOCK = LANES * CHECKPOINT * 4
-GROUP = 4 * BLOCK
+LANES, CHECKPOINT = 8192, 64
+BLOCK = LANES * CHECKPOINT * 2
+GROUP = 2 * BLOCK
 MAGIC = b"QGR1"
 U64 = np.uint64
 
@@ -162,34 +163,47 @@ def decode_group(data: bytes) -> np.ndarray:
     return np.concatenate(parts)
 
 
+def with_end(ids: np.ndarray, at: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of texts with ``end_id`` after each, and where each text's begin."""
+    return np.insert(ids, at[1:], end_id), at + np.arange(len(at))
+
+
 def write_store(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 0, parts: int | None = None) -> None:
     """Encode all texts and write the groups below ``path``, a folder that only this call fills."""
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
+    # A row number is the last part of the order, so that a range may end among rows of one doc_id, or of none.
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(parts, "doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "text", F.spark_partition_id().alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = library_words(tokenizer)
-        end = np.array([end_id], dtype=words.dtype)
-        keys: list = []
-        pieces: list[np.ndarray] = []
-        lengths: list[int] = []
+        keys: list[pa.Array] = []
+        ids: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
         number = held = 0
 
         def close() -> pa.RecordBatch:
-            return pa.record_batch([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([held], pa.int64()), pa.array([keys], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([encode_group(np.concatenate(pieces))], pa.binary())], names=["part", "group", "n_ids", "doc_ids", "lengths", "payload"])
+            each = np.concatenate(lengths)
+            whole = pa.array([0, len(each)], pa.int32())
+            columns = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([held], pa.int64()), pa.ListArray.from_arrays(whole, pa.concat_arrays(keys)), pa.ListArray.from_arrays(whole, pa.array(each)), pa.array([encode_group(np.concatenate(ids))], pa.binary())]
+            return pa.record_batch(columns, names=["part", "group", "n_ids", "doc_ids", "lengths", "payload"])
 
-        for batch in text_slices(batches, "text"):
+        for batch in text_slices(batches, "text", LARGE_SLICE):
             part = batch.column(2)[0].as_py()
-            for k, ids in zip(batch.column(0).to_pylist(), words.encode(texts_of(batch)), strict=True):
-                keys.append(k)
-                pieces += [ids, end]
-                lengths.append(len(ids) + 1)
-                held += len(ids) + 1
+            some, at = with_end(*words.encode(text_array(batch)), end_id)
+            first, last = 0, len(at) - 1
+            while first < last:
+                stop = min(last, max(first + 1, int(np.searchsorted(at, at[first] + GROUP - held, side="left"))))
+                keys.append(batch.column(0).slice(first, stop - first))
+                ids.append(some[at[first] : at[stop]])
+                lengths.append(np.diff(at[first : stop + 1]))
+                held += int(at[stop] - at[first])
+                first = stop
                 if held >= GROUP:
                     yield close()
-                    keys, pieces, lengths, held, number = [], [], [], 0, number + 1
+                    keys, ids, lengths, held, number = [], [], [], 0, number + 1
         if keys:
             yield close()
 

@@ -11,8 +11,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Text bytes that a Python worker handles at a time.
-SLICE_BYTES = 4 << 20
+#: Text bytes that a Python worker handles at a time; and where larger slices save work, as each slice's distinct words count.
+SLICE_BYTES, LARGE_SLICE = 4 << 20, 8 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -37,19 +37,24 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Cut record batches into runs of rows of about SLICE_BYTES of text; a single longer text is a run of its own."""
+def text_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut record batches into runs of rows of about ``most`` bytes of text; a single longer text is a run of its own."""
     for batch in batches:
         sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
         ends = np.cumsum(sizes)
         start = 0
         while start < len(sizes):
-            limit = (ends[start - 1] if start else 0) + SLICE_BYTES
+            limit = (ends[start - 1] if start else 0) + most
             stop = max(start + 1, int(np.searchsorted(ends, limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
 
 
+def text_array(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
+    """The column's values, null as empty."""
+    return pc.fill_null(batch.column(column), "")
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The column's values, null as empty."""
     return pc.fill_null(batch.column(column), "").to_pylist()

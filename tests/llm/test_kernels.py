@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -25,22 +26,23 @@ def ids(text):
 @given(texts)
 def test_words_make_the_text_and_the_ids(text):
     assert "".join(map(words.raw_word, words.word_keys(text))) == text
-    assert words.library_words(PATH).encode([text])[0].tolist() == ids(text)
+    got, at = words.library_words(PATH).encode(pa.array([text, "", text + " <|endoftext|>", text]))
+    assert [got[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [ids(text), [], ids(text + " <|endoftext|>"), ids(text)]
 
 
 @settings(max_examples=300, deadline=None)
 @given(texts)
 def test_rounds(text):
     r = bpe_rounds.round_words(PATH)
-    coded = np.frombuffer(r.encode([text])[0], dtype="<u4")
-    assert coded.tolist() == ids(text)
-    assert r.decode(coded) == LIBRARY.decode(ids(text), skip_special_tokens=False)
+    coded, at = r.encode(pa.array([text, "", text + "x<|endoftext|> y", text]))
+    assert [coded[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [ids(text), [], ids(text + "x<|endoftext|> y"), ids(text)]
+    assert r.decode(coded, at)[0] == LIBRARY.decode(ids(text), skip_special_tokens=False)
 
 
 @settings(max_examples=60, deadline=None)
 @given(texts)
 def test_every_prefix(text):
-    ledger = prefix_counts.Ledger(prefix_counts.prefix_rows(PATH), text, words.special_ids(PATH))
+    ledger = prefix_counts.Ledger.of(prefix_counts.prefix_rows(PATH), text, words.special_ids(PATH))
     for n in range(len(text) + 1):
         assert ledger.at(n) == len(ids(text[:n]))
 
@@ -48,17 +50,56 @@ def test_every_prefix(text):
 @settings(max_examples=60, deadline=None)
 @given(texts, st.integers(0, 12))
 def test_budget(text, limit):
-    ledger = prefix_counts.Ledger(prefix_counts.prefix_rows(PATH), text, words.special_ids(PATH))
+    ledger = prefix_counts.Ledger.of(prefix_counts.prefix_rows(PATH), text, words.special_ids(PATH))
     best = max(n for n in range(len(text) + 1) if len(ids(text[:n])) <= limit)
     assert ledger.fit(limit) == best
 
 
+def long_texts():
+    rng = random.Random(5)
+    letters = "".join(rng.choice("abcdefgh") for _ in range(20_000))
+    yield from (letters, "a" * 5001, "日本語中文字" * 4000, letters[:3000] + " x  \n" + letters[3000:9000], " " * 3000 + "b", "=-" * 4000, "'re" * 900)
+
+
+@pytest.mark.parametrize("text", list(long_texts()), ids=range(7))
+def test_long_words(text):
+    r, l, p = bpe_rounds.round_words(PATH), words.library_words(PATH), prefix_counts.prefix_rows(PATH)
+    some = pa.array([text, "a b", text])
+    assert r.encode(some)[0].tolist() == l.encode(some)[0].tolist() == ids(text) + ids("a b") + ids(text)
+    ledger = prefix_counts.Ledger.of(p, text, {})
+    assert ledger.sums[-1] == len(ids(text))
+    for limit in (0, 1, 700, 1024):
+        n = ledger.fit(limit)
+        assert len(ids(text[:n])) <= limit and all(len(ids(text[:k])) > limit for k in range(n + 1, min(len(text), n + 60) + 1))
+
+
+def test_a_full_table_keeps_frequent_words():
+    table = words.LibraryWords(PATH, max_words=50)
+    rng = random.Random(2)
+    for _ in range(30):
+        some = ["the same words again", " ".join(f"w{rng.randrange(10**6)}" for _ in range(20))]
+        got, at = table.encode(pa.array(some))
+        assert [got[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == list(map(ids, some))
+        assert len(table) <= 50 + 24
+    keys = pa.array(["\0the", "same", "words"])
+    assert np.isin(words.mixed(words.packed(keys)[0]), table.hashes).all()
+
+
+def test_words_of_equal_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(words, "mixed", lambda rows: (rows[:, 0] % 7).astype(np.uint64))
+    table = words.LibraryWords(PATH, max_words=20)
+    for k in range(5):
+        some = [f"one two three four five six seven eight nine ten w{k} " + "x" * 40, "nine three one a\0b a"]
+        got, at = table.encode(pa.array(some))
+        assert [got[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == list(map(ids, some))
+
+
 def test_bad_tokens_decode_like_the_library():
     r = bpe_rounds.round_words(PATH)
     rng = random.Random(3)
     for _ in range(200):
         some = [rng.randrange(50257) for _ in range(6)]
-        assert r.decode(np.array(some)) == LIBRARY.decode(some, skip_special_tokens=False)
+        assert r.decode(np.array(some), np.array([0, 6]))[0] == LIBRARY.decode(some, skip_special_tokens=False)
 
 
 @pytest.mark.parametrize("n", [1, 2, 63, 64, 65, 1000, 140_000, rans_store.BLOCK + 3])
@@ -68,7 +109,7 @@ def test_store_round_trip(n):
 
 
 def test_store_segments_and_checksums():
-    data = (np.random.default_rng(1).zipf(1.3, 600_000) % 5000).astype(np.uint16)
+    data = (np.random.default_rng(1).zipf(1.3, 4 * rans_store.CHECKPOINT * rans_store.LANES) % 5000).astype(np.uint16)
     table = rans_store.Table.of(data)
     block = rans_store.encode_block(data, table)
     slots = table.slots()
