@@ -1,22 +1,25 @@
 """Sharding by histogram sort: shards of near equal bytes, found by counting and filled in one exchange.
 
-Rows are ordered by (hash of the text, doc_id), so equal texts are neighbours. Boundaries between shards are keys. Candidate
-keys (probes) are tried a few thousand at a time: every partition counts the exact bytes and rows up to each probe, and the
-sums narrow each boundary's interval until a probe meets the tolerance, or until a single hash is left, whose rows are then
-split by doc_id in the same way. So a hot text is split over shards where it must be. Counting moves a row of sums for each
-probe; the data move once, to the ranges that the boundaries give. Each shard is cut into ranges of about RANGE_ROWS rows,
-which rank their rows in parallel: a row's slot is its rank in its range plus the exact count before the range.
+Rows are ordered by (hash of the text, doc_id, row number), so equal texts are neighbours and no two keys are equal. Boundaries
+between shards are keys. Candidate keys (probes) are tried a few thousand at a time: every partition counts the exact bytes up
+to each probe and gives the least and the greatest key between two. The sums narrow each boundary's interval until a
+probe meets the tolerance, or until a single key is left. So a hot text is split over shards where it must be, and so are rows
+that are equal in all they hold. Counting moves a row of sums for each probe; the driver holds the probes of a round and, in the
+end, a key for each boundary, whatever the number of rows.
+
+The rows move once, to blocks of their shard of about BLOCK_ROWS rows, dealt by the hash of the row number. A row's slot is its
+rank in its block plus the count of the shard's blocks before, a prefix sum over a row for each block.
 
 Law ``bytes``: sizes (UTF-8 bytes of the text plus 1) of shards differ from the mean by at most TOLERANCE of it or, where rows
 are larger than that, by about a row. grown_shard is null, as shards move when their number grows.
 
-Defined cases: a null text has the size and hash of the empty one; a null doc_id sorts before others; rows equal in text and
-doc_id are not told apart by a boundary, and share a shard; an empty table gives an empty result; other columns are left out.
+Defined cases: a null text has the size and hash of the empty one; a null doc_id sorts before others; repeated rows are kept
+each, and may be in several shards; an empty table gives an empty result; other columns are left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -27,56 +30,70 @@ from pyspark.sql.window import Window as W
 from .shared import materialise
 
 TOLERANCE = 0.001
-#: Tolerance of ranges inside a shard, which only share out the ranking.
-INNER_TOLERANCE = 0.25
-RANGE_ROWS = 16_384
-PROBES = 4096
-LEAST, MOST = -(1 << 63), (1 << 63) - 1
+#: Rows of a block in which slots are ranked, on average; probes of a round.
+BLOCK_ROWS, PROBES = 16_384, 4096
+LEAST = -(1 << 63)
+
+#: (hash, doc_id, row number)
+Key = tuple[int, int, int]
 
-Key = tuple[int, int]
+
+def number_of(key: Sequence[int]) -> int:
+    """The key as one whole number, in the same order."""
+    out = 0
+    for k in key:
+        out = out << 64 | (k - LEAST)
+    return out
 
 
-class Cuts:
-    """Sorted keys (hash, doc_id); a row's bucket is how many of them are below its key."""
+def key_of(number: int) -> Key:
+    part = (1 << 64) - 1
+    return tuple((number >> shift & part) + LEAST for shift in (128, 64, 0))
 
-    def __init__(self, keys: list[Key]):
-        self.keys = sorted(set(keys))
-        hashes = np.array([h for h, _ in self.keys], dtype=np.int64)
-        self.hashes, first = np.unique(hashes, return_index=True)
-        self.first = np.concatenate([first, [len(self.keys)]]).astype(np.int64)
-        self.ids = np.array([d for _, d in self.keys], dtype=np.int64)
 
-    def buckets(self, h: np.ndarray, d: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.hashes, h, side="left")
-        out = self.first[at]
-        hit = np.flatnonzero((at < len(self.hashes)) & (self.hashes[np.minimum(at, max(0, len(self.hashes) - 1))] == h)) if len(self.hashes) else []
-        if len(hit):
-            order = hit[np.argsort(at[hit], kind="stable")]
-            groups, starts = np.unique(at[order], return_index=True)
-            for g, rows in zip(groups.tolist(), np.split(order, starts[1:]), strict=True):
-                a, b = self.first[g], self.first[g + 1]
-                out[rows] = a + np.searchsorted(self.ids[a:b], d[rows], side="left")
-        return out
+#: The numbers below and of the greatest key.
+BELOW, MOST = -1, (1 << 192) - 1
+
+
+def below(cuts: np.ndarray, columns: Sequence[np.ndarray]) -> np.ndarray:
+    """For each row, how many of the ascending cuts are less than its key."""
+    if not len(cuts):
+        return np.zeros(len(columns[0]), dtype=np.int64)
+    first, starts = np.unique(cuts[:, 0], return_index=True)
+    bounds = np.append(starts, len(cuts))
+    at = np.searchsorted(first, columns[0], side="left")
+    out = bounds[at]
+    if len(columns) > 1:
+        hit = np.flatnonzero((at < len(first)) & (first[np.minimum(at, len(first) - 1)] == columns[0]))
+        order = hit[np.argsort(at[hit], kind="stable")]
+        groups, begin = np.unique(at[order], return_index=True)
+        for g, rows in zip(groups.tolist(), np.split(order, begin)[1:], strict=True):
+            out[rows] = bounds[g] + below(cuts[bounds[g] : bounds[g + 1], 1:], [c[rows] for c in columns[1:]])
+    return out
 
 
-def count_below(rows: DataFrame, cuts: Cuts) -> tuple[np.ndarray, np.ndarray]:
-    """Exact bytes and rows up to each cut. Every partition sends a row for each bucket it has."""
+def count_between(rows: DataFrame, probes: list[int]) -> tuple[np.ndarray, dict[int, tuple[int, int]]]:
+    """Exact bytes up to each probe, and the least and greatest key of the rows between two."""
+    cuts = np.array([key_of(p) for p in probes], dtype=np.int64).reshape(-1, 3)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, n = np.zeros(len(cuts.keys) + 1, dtype=np.int64), np.zeros(len(cuts.keys) + 1, dtype=np.int64)
         for batch in batches:
-            h, d, s = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "d", "size"))
-            at = cuts.buckets(h, d)
-            np.add.at(size, at, s)
-            n += np.bincount(at, minlength=len(n))
-        full = np.flatnonzero(n)
-        yield pa.record_batch([pa.array(full, pa.int64()), pa.array(size[full]), pa.array(n[full])], names=["at", "bytes", "rows"])
-
-    sums = rows.select("h", "d", "size").mapInArrow(run, "at long, bytes long, rows long").groupBy("at").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"))
-    size, n = np.zeros(len(cuts.keys) + 1, dtype=np.int64), np.zeros(len(cuts.keys) + 1, dtype=np.int64)
-    for r in sums.collect():  # a row for each probe at most
-        size[r["at"]], n[r["at"]] = r["bytes"], r["rows"]
-    return np.cumsum(size)[:-1], np.cumsum(n)[:-1]
+            h, d, r, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "d", "r", "size"))
+            at = below(cuts, (h, d, r))
+            order = np.lexsort((r, d, h, at))
+            begin = np.flatnonzero(np.diff(at[order], prepend=-1))
+            end = np.append(begin[1:], len(order)) - 1
+            key = [pa.StructArray.from_arrays([pa.array(c[order[x]]) for c in (h, d, r)], names=["h", "d", "r"]) for x in (begin, end)]
+            yield pa.record_batch([pa.array(at[order[begin]]), pa.array(np.add.reduceat(size[order], begin) if len(begin) else size), *key], names=["at", "bytes", "least", "most"])
+
+    kind = "struct<h: long, d: long, r: long>"
+    found = rows.select("h", "d", "r", "size").mapInArrow(run, f"at long, bytes long, least {kind}, most {kind}")
+    sums = found.groupBy("at").agg(F.sum("bytes").alias("bytes"), F.min("least").alias("least"), F.max("most").alias("most"))
+    size, ends = np.zeros(len(probes) + 1, dtype=np.int64), {}
+    for x in sums.collect():  # a row for each probe at most
+        size[x["at"]] = x["bytes"]
+        ends[x["at"]] = number_of(x["least"]), number_of(x["most"])
+    return np.cumsum(size), ends
 
 
 def between(low: int, high: int, k: int) -> list[int]:
@@ -85,74 +102,44 @@ def between(low: int, high: int, k: int) -> list[int]:
     return [low + 1 + i for i in range(room)] if room <= k else [low + (i + 1) * (room + 1) // (k + 1) for i in range(k)]
 
 
-def find_boundaries(rows: DataFrame, targets: list[int], slack: list[float], total: int) -> list[Key]:
-    """For each target, a key up to which there are about so many bytes.
-
-    An open interval holds (low key, bytes up to it, high key, bytes up to it) with low's bytes under the target and high's not.
-    """
-    low: list[tuple[Key, int]] = [((LEAST, LEAST), 0)] * len(targets)
-    high: list[tuple[Key, int]] = [((MOST, MOST), total)] * len(targets)
-    found: list[Key | None] = [None] * len(targets)
+def find_boundaries(rows: DataFrame, targets: list[int], slack: float) -> list[Key]:
+    """For each target, a key up to which there are about so many bytes, ascending. Intervals (low, high] hold it: bytes up to low
+    are less than the target, bytes up to high aren't."""
+    low, high = [BELOW] * len(targets), [MOST] * len(targets)
+    found: list[int | None] = [None] * len(targets)
     while open_ := [n for n, f in enumerate(found) if f is None]:
-        each = max(3, PROBES // len(open_))
-        probes: set[Key] = set()
-        for n in open_:
-            (lh, ld), (hh, hd) = low[n][0], high[n][0]
-            if lh != hh and (keys := between(lh - (ld != MOST), hh, each)):
-                probes.update((h, MOST) for h in keys)  # all rows of a hash
-            elif lh != hh:
-                probes.update((hh, d) for d in between(LEAST - 1, hd, each))  # the high hash alone: by doc_id
-            else:
-                probes.update((hh, d) for d in between(ld, hd, each))
-        cuts = Cuts(list(probes))
-        size, _ = count_below(rows, cuts)
+        probes = sorted({p for n in open_ for p in between(low[n], high[n], max(3, PROBES // len(open_)))} | {high[n] for n in open_})
+        size, ends = count_between(rows, probes)
         for n in open_:
             at = int(np.searchsorted(size, targets[n], side="left"))
-            if at < len(size) and cuts.keys[at] < high[n][0]:
-                high[n] = (cuts.keys[at], int(size[at]))
-            if at and cuts.keys[at - 1] > low[n][0]:
-                low[n] = (cuts.keys[at - 1], int(size[at - 1]))
-            near = min((high[n], low[n]), key=lambda x: abs(x[1] - targets[n]))
-            (lh, ld), (hh, hd) = low[n][0], high[n][0]
-            done = (lh == hh and hd - ld <= 1) or (ld == MOST and hh - lh == 1 and hd == LEAST)
-            if abs(near[1] - targets[n]) <= slack[n] or done:
-                found[n] = near[0]
-    return found
+            before = int(size[at - 1]) if at else 0
+            least, most = ends.get(at, (low[n], high[n]))
+            # No row is between the probes and the ends of what lies between them.
+            low[n], high[n] = least - 1, most
+            off, end = min((abs(int(size[at]) - targets[n]), high[n]), (abs(before - targets[n]), low[n]))
+            if off <= slack or least == most:
+                found[n] = end
+    return [key_of(max(0, f)) for f in sorted(found)]
 
 
 def shard(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     id_ = F.col(f"`{key}`").cast("long")
-    rows = materialise(docs.select(id_.alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"), F.xxhash64(body).alias("h"), F.coalesce(id_, F.lit(LEAST)).alias("d")))
+    rows = docs.select(id_.alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"), F.xxhash64(body).alias("h"), F.coalesce(id_, F.lit(LEAST)).alias("d"), F.monotonically_increasing_id().alias("r"))
+    rows = materialise(rows)  # a row keeps its number
     whole = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
-    inner = max(1, -(-whole["n"] // (shards * RANGE_ROWS)))
-    n_ranges = shards * inner
-    targets = [whole["b"] * k // n_ranges for k in range(1, n_ranges)]
-    slack = [whole["b"] / shards * TOLERANCE if k % inner == 0 else whole["b"] / n_ranges * INNER_TOLERANCE for k in range(1, n_ranges)]
-    ends = find_boundaries(rows, targets, slack, whole["b"]) if whole["n"] else [(MOST, MOST)] * len(targets)
-    ends = _ascending(ends)
-    cuts = Cuts(ends)
-    _, n_below = count_below(rows, cuts)
-    place = {k: n for n, k in enumerate(cuts.keys)}
-    below = [0, *(int(n_below[place[e]]) for e in ends)]
-    base = np.array([below[r] - below[r - r % inner] for r in range(n_ranges)], dtype=np.int64)
-    # A bucket of the distinct cuts is the first range that it opens; ranges with equal ends are empty.
-    opens = np.array([0, *(max(n for n, e in enumerate(ends) if e == k) + 1 for k in cuts.keys)], dtype=np.int64)
+    ends = find_boundaries(rows, [whole["b"] * k // shards for k in range(1, shards)], whole["b"] / shards * TOLERANCE) if whole["n"] else []
+    cuts = np.array(ends, dtype=np.int64).reshape(-1, 3)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            r = opens[cuts.buckets(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "d")))]
-            yield pa.record_batch([*batch.columns, pa.array(r), pa.array((r // inner).astype(np.int32)), pa.array(base[r])], names=[*batch.schema.names, "range", "shard", "base"])
-
-    dealt = rows.mapInArrow(run, "doc_id long, size long, text_crc32 long, h long, d long, range long, shard int, base long")
-    rank = F.row_number().over(W.partitionBy("range").orderBy("h", "d")) - 1
-    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + rank).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
-
-
-def _ascending(ends: list[Key]) -> list[Key]:
-    """Boundaries found within tolerances may pass each other; each is at least the one before it."""
-    out: list[Key] = []
-    for e in ends:
-        out.append(max(e, out[-1]) if out else e)
-    return out
+            at = below(cuts, [batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "d", "r")])
+            yield pa.record_batch([*(batch.column(c) for c in ("doc_id", "size", "text_crc32", "r")), pa.array(at.astype(np.int32))], names=["doc_id", "size", "text_crc32", "r", "shard"])
+
+    blocks = max(1, -(-whole["n"] // (shards * BLOCK_ROWS)))
+    dealt = rows.mapInArrow(run, "doc_id long, size long, text_crc32 long, r long, shard int").withColumn("block", F.pmod(F.xxhash64("r"), F.lit(blocks)))
+    counts = dealt.groupBy("shard", "block").agg(F.count("*").alias("n"))
+    before = counts.select("shard", "block", (F.sum("n").over(W.partitionBy("shard").orderBy("block")) - F.col("n")).alias("base"))
+    ranked = dealt.withColumn("rank", F.row_number().over(W.partitionBy("shard", "block").orderBy("r")) - 1)
+    return ranked.join(before, ["shard", "block"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("rank")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -177,13 +177,15 @@ def test_growing_finds_components():
     assert [find(i) for i in range(len(fps))] == root.tolist()
 
 
-def test_cuts_bucket_like_tuples():
+def test_rows_are_below_cuts_like_tuples():
     rng = random.Random(1)
-    keys = [(rng.randrange(5), rng.randrange(5)) for _ in range(12)]
-    cuts = histogram_sort.Cuts(keys)
-    rows = [(h, d) for h in range(6) for d in range(6)]
-    got = cuts.buckets(np.array([h for h, _ in rows]), np.array([d for _, d in rows]))
-    assert got.tolist() == [sum(k < r for k in cuts.keys) for r in rows]
+    keys = sorted({tuple(rng.randrange(4) for _ in range(3)) for _ in range(20)})
+    rows = [(h, d, r) for h in range(5) for d in range(5) for r in range(5)]
+    got = histogram_sort.below(np.array(keys, dtype=np.int64), [np.array(c, dtype=np.int64) for c in zip(*rows, strict=True)])
+    assert got.tolist() == [sum(k < r for k in keys) for r in rows]
+    some = [(-(2**63), 0, 2**63 - 1), (-5, 7, -1), (3, -(2**63), 2)]
+    assert [histogram_sort.key_of(histogram_sort.number_of(k)) for k in some] == some
+    assert sorted(some) == sorted(some, key=histogram_sort.number_of)
 
 
 @settings(max_examples=60, deadline=None)

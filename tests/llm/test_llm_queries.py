@@ -69,16 +69,39 @@ def test_store_is_in_order(odd):
     assert ids[0] is None and ids[1:] == sorted(ids[1:])
 
 
-def test_shards_are_even_and_gapless(spark, odd):
-    rows = spark.createDataFrame([(n, "hot" if n % 3 == 0 else f"text {n} " * (n % 17)) for n in range(3000)], "doc_id long, text string")
-    out = histogram_sort.shard(rows, 16).collect()
-    sizes, slots = collections.Counter(), collections.defaultdict(list)
+def check_shards(rows, out, shards=16):
+    """Every column of the result by brute force: sizes, digests, even shards, gapless slots."""
+    size = lambda t: len((t or "").encode()) + 1
+    want = collections.Counter((k, size(t), zlib.crc32((t or "").encode()), "bytes", None) for k, t in rows)
+    assert collections.Counter((r["doc_id"], r["size"], r["text_crc32"], r["law"], r["grown_shard"]) for r in out) == want
+    sizes, slots = collections.Counter(dict.fromkeys(range(shards), 0)), collections.defaultdict(list)
     for r in out:
         sizes[r["shard"]] += r["size"]
         slots[r["shard"]].append(r["slot"])
-    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    assert max(sizes.values()) - min(sizes.values()) <= 2 * max(r["size"] for r in out) and len(sizes) == 16
-    assert [r["text_crc32"] for r in out if r["doc_id"] == 0] == [zlib.crc32(b"hot")]
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(sizes) == set(range(shards))
+    mean, most = sum(sizes.values()) / shards, max((size(t) for _, t in rows), default=0)
+    assert all(abs(s - mean) <= max(2 * histogram_sort.TOLERANCE * mean, most + 1) for s in sizes.values())
+
+
+SHARDED = {
+    "a hot text": [(n, "hot" if n % 3 == 0 else f"text {n} " * (n % 17)) for n in range(3000)],
+    "a hot text without ids": [(None, "the same text") for _ in range(3000)] + [(n, f"another text {n}") for n in range(3000)],
+    "one row many times": [(5, "é") for _ in range(500)],
+    "few rows": [(1, "a"), (2, None), (3, "")],
+    "a long text": [(n, "x" * (20_000 if n == 7 else 3)) for n in range(100)],
+}
+
+
+@pytest.mark.parametrize("name", SHARDED)
+def test_shards_are_even_and_gapless(spark, name):
+    rows = SHARDED[name]
+    check_shards(rows, histogram_sort.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 16).collect())
+
+
+@needs_data
+def test_shards_of_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    check_shards([(r["doc_id"], r["text"]) for r in docs.collect()], queries.QUERIES["op2_sharding"](spark, SF).collect())
 
 
 def fingerprint(text):
