@@ -1,6 +1,8 @@
-"""Near-duplicate groups by exact Jaccard similarity of word shingles, without loss.
+"""Near-duplicate groups by SimHash, completed to exact Jaccard similarity of word shingles without loss.
 
-A text is the set of its shingles; texts with equal sets are one node. Two sets x, y with similarity 0.8 share at least
+A text is the set of its shingles; texts with equal sets are one node. The SimHash grid (simhash_grid.py) proposes edges
+between nodes with near fingerprints, and each is verified exactly. No fingerprint distance that a grid can afford finds all pairs
+of similarity 0.8, so a prefix filter completes them; what the verified edges join is not compared again. Two sets x, y with similarity 0.8 share at least
 0.8 |x| of x's shingles, so in any fixed order of all shingles they share one among the first |x| - ceil(0.8 |x|) + 1 of x and
 as many of y (prefix filter). The order is by how often a shingle occurs in a sample of the texts, then by hash: rare ones come
 first and few unrelated texts meet. The sample only decides what it costs; with any order no pair is lost.
@@ -27,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialise, shared_folder, text_slices
-from .simhash_grid import components, first_of_groups
+from .simhash_grid import components, fingerprint_of_hashes, first_of_groups
+from .simhash_grid import links as grid_links
 
 #: Runs up to this length are compared pair by pair.
 SHORT = 8
@@ -35,6 +38,8 @@ SHORT = 8
 BINS, SAMPLE, KNOWN = 128, 20000, 1 << 18
 #: Members of a long run that one is compared with at a time.
 BLOCK = 4096
+#: Bits within which fingerprints are proposed, and shares into which a hot member's pairs or copies are dealt.
+DISTANCE, SALTS = 4, 16
 
 
 def shingles(text: str | None, words: int) -> set[bytes]:
@@ -92,24 +97,28 @@ def starts_of(run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def first_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Of (h, size, node) sorted: pairs (h null, a > b) to compare, and the members (h, node as a, size as b) of long runs."""
-    for h, size, node in runs(batches, ("h", "size", "node")):
+    """Of (h, size, node, label) sorted: pairs (h null, a > b) of different labels to compare, and the members (h, node as a, size
+    as b) of long runs."""
+    for h, size, node, label in runs(batches, ("h", "size", "node", "label")):
         starts, sizes = starts_of(h)
         short = np.repeat(sizes <= SHORT, sizes)
         us, vs, hs, ms, mb = [], [], [], [], []
         for k in range(1, SHORT):
-            at = np.flatnonzero((h[k:] == h[:-k]) & short[k:])
+            at = np.flatnonzero((h[k:] == h[:-k]) & short[k:] & (label[k:] != label[:-k]))
             at = at[100 * size[at] >= percent * size[at + k]]  # sizes ascend within a run
             us.append(node[at])
             vs.append(node[at + k])
         for n in np.flatnonzero(sizes > SHORT).tolist():
             part = slice(starts[n], starts[n] + sizes[n])
-            s, who = size[part], node[part]
+            s, who, of = size[part], node[part], label[part]
+            if (of == of[0]).all():
+                continue
             at = 0
             while at < len(s):
                 end = int(np.searchsorted(s, 100 * int(s[at]) // percent, side="right"))
-                us.append(np.full(end - at - 1, who[at]))
-                vs.append(who[at + 1 : end])
+                others = who[at + 1 : end][of[at + 1 : end] != of[at]]
+                us.append(np.full(len(others), who[at]))
+                vs.append(others)
                 at = end
             hs.append(h[part])
             ms.append(who)
@@ -185,16 +194,13 @@ def groups(rows: DataFrame, number: str, text: str, words: int = 5, percent: int
             found = [hashes(t, words) for t in batch.column("text").to_pylist()]
             same = [xxhash.xxh3_128_digest(f.tobytes()) for f in found]
             first = pa.array([prefix(f, known, often, percent) for f in found], pa.list_(pa.int64()))
-            yield pa.record_batch([batch.column("n"), pa.array(same, pa.binary()), pa.array([len(f) for f in found], pa.int64()), first], names=["n", "same", "size", "first"])
+            fp = pa.array([fingerprint_of_hashes(f) for f in found], pa.int64())
+            yield pa.record_batch([batch.column("n"), pa.array(same, pa.binary()), pa.array([len(f) for f in found], pa.int64()), first, fp], names=["n", "same", "size", "first", "fp"])
 
-    sketches = stored(texts.mapInArrow(sketch, "n long, same binary, size long, first array<long>"), "sketches")
+    sketches = stored(texts.mapInArrow(sketch, "n long, same binary, size long, first array<long>, fp long"), "sketches")
     nodes = materialise(sketches.groupBy("same").agg(F.min("n").alias("node")))
     of_node = sketches.join(nodes.select(F.col("node").alias("n")), "n", "left_semi").withColumnRenamed("n", "node")
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = of_node.select(F.explode("first").alias("h"), "size", "node").repartition(parts, "h").sortWithinPartitions("h", "size", "node")
-    met = stored(met.mapInArrow(lambda b: first_pairs(b, percent), "h long, a long, b long"), "met")
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[int | None, set[bytes]]] = {"a": (None, set()), "b": (None, set())}  # rows come in runs of one side
         for batch in batches:
@@ -208,12 +214,30 @@ def groups(rows: DataFrame, number: str, text: str, words: int = 5, percent: int
             yield pa.record_batch([batch.column("a"), batch.column("b")], names=["u", "v"]).filter(pa.array(kept, pa.bool_()))
 
     def links(pairs: DataFrame) -> DataFrame:
-        pairs = materialise(pairs.groupBy("a", "b").agg(F.lit(1).alias("x")).select("a", "b"))
+        """Those of the pairs (a > b) that are alike. One b may be in most pairs, so its pairs are dealt over shares by a."""
+        pairs = materialise(pairs.groupBy("a", "b").agg(F.lit(1).alias("x")).select("a", "b", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int").alias("salt")))
         with_a = pairs.join(texts.select(F.col("n").alias("a"), F.col("text").alias("ta")), "a")
-        both = with_a.join(texts.select(F.col("n").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+        with_b = pairs.select("b", "salt").distinct().join(texts.select(F.col("n").alias("b"), F.col("text").alias("tb")), "b")
+        both = with_a.join(with_b, ["b", "salt"]).select("a", "b", "ta", "tb")
         return materialise(both.mapInArrow(compare, "u long, v long"))
 
-    edges = links(met.filter("h is null").select("a", "b"))
+    # Equal or near fingerprints: each node with the first of its fingerprint, and those firsts along the grid's edges.
+    fps = materialise(of_node.select("node", "fp"))
+    first_of = materialise(fps.groupBy("fp").agg(F.min("node").alias("lead")))
+    shares = F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt")
+    dealt = fps.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    equal = dealt.join(first_of.select("fp", "lead", shares), ["fp", "salt"]).filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+    ends = [first_of.select(F.col("fp").alias(c), F.col("lead").alias(f"{c}_lead")) for c in ("u", "v")]
+    near = grid_links(first_of, DISTANCE).join(ends[0], "u").join(ends[1], "v").select(F.greatest("u_lead", "v_lead").alias("a"), F.least("u_lead", "v_lead").alias("b"))
+    proposed = links(equal.unionByName(near))
+    joined = components(proposed)
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    labelled = of_node.select("node", "size", "first").join(joined, "node", "left").select("node", "size", "first", F.coalesce("label", "node").alias("label"))
+    met = labelled.select(F.explode("first").alias("h"), "size", "node", "label").repartition(parts, "h").sortWithinPartitions("h", "size", "node")
+    met = stored(met.mapInArrow(lambda b: first_pairs(b, percent), "h long, a long, b long"), "met")
+
+    edges = proposed.unionByName(links(met.filter("h is null").select("a", "b")))
     labels = components(edges)
     long_ = met.filter("h is not null").select("h", F.col("a").alias("node"))
     members = materialise(long_.join(labels, "node", "left").select("h", "node", F.coalesce("label", "node").alias("label")))
@@ -230,8 +254,9 @@ def groups(rows: DataFrame, number: str, text: str, words: int = 5, percent: int
     more = materialise(rest.mapInArrow(lambda b: rest_edges(b, percent), "u long, v long").groupBy("u", "v").agg(F.lit(1).alias("x")).select("u", "v"))
     if more.limit(1).count():
         labels = components(edges.unionByName(more))
-    of = nodes.join(labels, "node", "left").select("same", F.coalesce("label", "node").alias("label"))
-    return sketches.select("n", "same").join(of, "same").select("n", "label")
+    of = nodes.join(labels, "node", "left").select("same", F.coalesce("label", "node").alias("label"), shares)
+    copies = sketches.select("n", "same", F.pmod(F.xxhash64("n"), F.lit(SALTS)).cast("int").alias("salt"))  # a text may be a third of all rows
+    return copies.join(of, ["same", "salt"]).select("n", "label")
 
 
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:

@@ -8,9 +8,12 @@ join: the two points have a cell within one step of both, so each emits its own
 cells that fall together give candidates. Candidates are verified by the exact Hamming distance, on distinct fingerprints
 only; copies of a fingerprint never multiply.
 
-In a cell, components are grown from a pivot: each member found is compared with those that are not yet in a component. A tight
-group costs its size, and yields an edge for each member rather than its pairs. Edges of all cells are joined to components by
-hooking roots and jumping pointers, in DataFrames, with a checkpoint each round.
+A cell with many members is cut by the bits themselves: fingerprints within D differ in at most two bits of one part, so they
+agree in one of three blocks of that part's bits, and only members with an equal block are compared. For random fingerprints
+that leaves two pairs in ten million, at 64 bits and D = 4. In a block, components are grown from a pivot: each member found is
+compared with those that are not yet in a component. A tight group costs its size, and yields an edge for each member rather
+than its pairs. Edges of all cells are joined to components by hooking roots and jumping pointers, in DataFrames, with a
+checkpoint each round.
 
 Defined cases: a null or empty text, or one of blanks, has the fingerprint 0 and is linked like any other; a null doc_id gets a
 component but never names one unless all of it is null; repeated rows are kept each; an empty table gives an empty
@@ -32,8 +35,30 @@ from .shared import materialise, shared_folder, text_slices
 BITS, SEGMENT = 64, 2
 #: Runs of a cell up to this length are compared pair by pair in one sweep over the batch.
 SHORT = 8
-#: Shares into which the nodes of a label are dealt.
-SALTS = 16
+#: Cells with more members are cut into blocks.
+CUT = 64
+#: Shares into which the nodes of a label are dealt, and the copies of a fingerprint.
+SALTS, COPY_SALTS = 16, 8
+#: Shingles whose bits are counted at a time.
+SHINGLES = 1 << 16
+
+
+def bit_counts(digests: np.ndarray) -> np.ndarray:
+    """How many of the big-endian 64-bit digests have each bit set, from the highest."""
+    return np.unpackbits(digests.reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+
+
+def majority(ones: np.ndarray, n: int) -> int:
+    """The fingerprint, as a signed number: bits that are set in over half of n."""
+    return int(np.packbits(2 * ones > n).view(">i8")[0])
+
+
+def fingerprint_of_hashes(hashes: np.ndarray) -> int:
+    """SimHash of signed 64-bit hashes; 0 if there are none."""
+    ones = np.zeros(BITS, dtype=np.int64)
+    for at in range(0, len(hashes), SHINGLES):
+        ones += bit_counts(hashes[at : at + SHINGLES].astype(">i8").view(np.uint8))
+    return majority(ones, len(hashes)) if len(hashes) else 0
 
 
 def fingerprint(text: str | None, words: int) -> int:
@@ -50,9 +75,11 @@ def fingerprint(text: str | None, words: int) -> int:
     else:
         starts, ends = starts[:1], ends[-1:]
     digest = xxhash.xxh64_digest
-    hashes = np.frombuffer(b"".join([digest(buffer[a:b], 42) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), dtype=np.uint8)
-    ones = np.unpackbits(hashes.reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(starts)).view(">i8")[0])
+    ones = np.zeros(BITS, dtype=np.int64)
+    for at in range(0, len(starts), SHINGLES):
+        some = zip(starts[at : at + SHINGLES].tolist(), ends[at : at + SHINGLES].tolist(), strict=True)
+        ones += bit_counts(np.frombuffer(b"".join([digest(buffer[a:b], 42) for a, b in some]), dtype=np.uint8))
+    return majority(ones, len(starts))
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4) -> DataFrame:
@@ -67,14 +94,31 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     return rows.mapInArrow(run, f"k {kind}, fp long").withColumnRenamed("k", key)
 
 
+def bits_of(fps: np.ndarray) -> np.ndarray:
+    return np.unpackbits(fps.astype(">i8").view(np.uint8).reshape(-1, 8), axis=1)
+
+
+def parts_for(distance: int) -> list[np.ndarray]:
+    """The segments of each part."""
+    return np.array_split(np.arange(BITS // SEGMENT), max(2, distance // 3 + 1))
+
+
+def blocks(fps: np.ndarray, part: int, distance: int) -> np.ndarray:
+    """For each fingerprint the bits of each block of a part, as numbers: one block more than bits that the part may differ in."""
+    parts = parts_for(distance)
+    columns = (parts[part][:, None] * SEGMENT + np.arange(SEGMENT)).ravel()
+    own = np.array_split(columns, distance // len(parts) + 1)
+    bits = bits_of(fps)
+    return np.stack([bits[:, c] @ (1 << np.arange(len(c), dtype=np.int64)) for c in own], axis=1)
+
+
 def cells(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """The grid cells within one step of each part's embedding: cell numbers, and the row of each.
 
     There are as many parts as leave at most two bits of ``distance`` to one of them.
     """
-    bits = np.unpackbits(fps.astype(">i8").view(np.uint8).reshape(-1, 8), axis=1)
-    counts = bits.reshape(len(fps), BITS // SEGMENT, SEGMENT).sum(axis=2, dtype=np.int64)
-    parts = np.array_split(np.arange(BITS // SEGMENT), max(2, distance // 3 + 1))
+    counts = bits_of(fps).reshape(len(fps), BITS // SEGMENT, SEGMENT).sum(axis=2, dtype=np.int64)
+    parts = parts_for(distance)
     rows = np.arange(len(fps))
     out_cells, out_rows = [], []
     for part, columns in enumerate(parts):
@@ -125,7 +169,8 @@ def links(nodes: DataFrame, distance: int) -> DataFrame:
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_cell, held_fp = [], []
 
-        def edges(cell: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        def pairs_of(cell: np.ndarray, fp: np.ndarray, whole: bool) -> tuple[list[np.ndarray], list[np.ndarray]]:
+            """Edges within runs of a cell; ``whole`` cells that are long are cut into blocks first."""
             starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
             sizes = np.diff(np.concatenate([starts, [len(cell)]]))
             u, v = [], []
@@ -137,11 +182,22 @@ def links(nodes: DataFrame, distance: int) -> DataFrame:
                 v.append(fp[at])
             for n in np.flatnonzero(sizes > SHORT).tolist():
                 run = fp[starts[n] : starts[n] + sizes[n]]
+                if whole and len(run) > CUT:
+                    for block in blocks(run, int(cell[starts[n]]) % len(parts_for(distance)), distance).T:
+                        order = np.lexsort((run, block))
+                        more = pairs_of(block[order], run[order], False)
+                        u += more[0]
+                        v += more[1]
+                    continue
                 root = grow(run, distance)
                 own = np.flatnonzero(root != np.arange(len(run)))
                 u.append(run[own])
                 v.append(run[root[own]])
-            u, v = np.concatenate(u), np.concatenate(v)
+            return u, v
+
+        def edges(cell: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+            u, v = (np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in pairs_of(cell, fp, True))
+            u, v = np.maximum(u, v), np.minimum(u, v)
             pairs = np.unique(np.stack([u, v], axis=1), axis=0) if len(u) else np.zeros((0, 2), dtype=np.int64)
             return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
@@ -209,7 +265,10 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     salted = linked.select("fp", "label", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int").alias("salt"))
     found = salted.join(named.select("label", "component_id", salts), ["label", "salt"]).select("fp", "component_id")
     of_fp = nodes.join(found, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    return rows.join(of_fp, "fp").select(F.col("k").alias(key), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # A fingerprint's copies may be a third of all rows, so they are dealt over shares, each with its own row of the other side.
+    shares = F.explode(F.array(*map(F.lit, range(COPY_SALTS)))).alias("salt")
+    dealt = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(COPY_SALTS)).cast("int"))
+    return dealt.join(of_fp.select("fp", "component_id", shares), ["fp", "salt"]).select(F.col("k").alias(key), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:

@@ -143,6 +143,19 @@ def test_simhash_groups(spark, odd):
     assert dict(zip([k for k, _ in rows], grouped([k for k, _ in rows], fps, 4), strict=True)) == {k: v[1] for k, v in got.items()}
 
 
+def test_a_long_cell_loses_no_link(spark):
+    rng = np.random.default_rng(11)
+    halves = rng.integers(0, 2, (500, 32))  # each segment of two bits has one set, so all are in one cell
+    base = [sum((1 if bit else 2) << (2 * n) for n, bit in enumerate(row)) for row in halves.tolist()]
+    base += [b ^ sum(1 << int(x) for x in rng.choice(64, int(rng.integers(1, 6)), replace=False)) for b in base[:250] for _ in range(2)]
+    fps = np.unique(np.array(base, dtype=np.uint64).view(np.int64))
+    edges = simhash_grid.links(spark.createDataFrame([(int(f),) for f in fps], "fp long"), 4)
+    assert edges.filter("u <= v").count() == 0
+    got = {r["node"]: r["label"] for r in simhash_grid.components(edges).collect()}
+    want = grouped(list(range(len(fps))), [int(f) & (2**64 - 1) for f in fps], 4)
+    assert [int(got.get(int(f), f)) for f in fps] == [int(fps[n]) for n in want]
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(n + 1, n) for n in range(200)] + [(1001, 1000)], "u long, v long")
     got = {r["node"]: r["label"] for r in simhash_grid.components(edges).collect()}
