@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .prefix_counts import PATTERN, split_specials
-from .shared import LARGE_SLICE, text_array, text_slices
+from .shared import text_array, text_slices
 from .words import MAX_WORDS, WordTable, byte_alphabet, description, ragged, special_ids, special_texts, token_bytes
 
 #: Bytes from which a piece is encoded by itself.
@@ -210,7 +210,7 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = round_words(path)
-        for batch in text_slices(batches, "text", LARGE_SLICE):
+        for batch in text_slices(batches, "text"):
             ids, at = words.encode(text_array(batch))
             decoded = words.decode(ids, at)
             data, cuts = memoryview(ids.astype("<u4")).cast("B"), (4 * at).tolist()

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .rans_store import with_end
-from .shared import LARGE_SLICE, materialise, text_array, text_slices
+from .shared import materialise, text_array, text_slices
 from .words import library_words
 
 #: Pieces that a block of the ranking holds on average, as long as there are at most so many blocks.
@@ -106,7 +106,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = library_words(tokenizer)
-        for batch in text_slices(batches, "text", LARGE_SLICE):
+        for batch in text_slices(batches, "text"):
             ids, at = with_end(*words.encode(text_array(batch)), end_id)
             row, piece, length = cut_all(np.diff(at), capacity)
             ends = np.cumsum(length)

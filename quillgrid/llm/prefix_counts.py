@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .shared import LARGE_SLICE, text_array, text_slices
+from .shared import text_array, text_slices
 from .words import BLANK, MAX_WORDS, WHITE_SPACE, WordTable, byte_alphabet, description, raw_word, special_ids, special_texts, split_texts, token_bytes, word_keys
 
 #: The public pattern of this tokenizer family.
@@ -225,7 +225,7 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, specials = prefix_rows(path), special_ids(path)
-        for batch in text_slices(batches, "text", LARGE_SLICE):
+        for batch in text_slices(batches, "text"):
             texts = text_array(batch)
             n_bytes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
             special = special_texts(texts, list(specials))

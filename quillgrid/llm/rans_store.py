@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .shared import LARGE_SLICE, shared_folder, text_array, text_slices
+from .shared import shared_folder, text_array, text_slices
 from .words import library_words
 
 SCALE = 20  # frequencies sum to 2**SCALE; a vocabulary may have as many ids at most
@@ -190,7 +190,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id",
             columns = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([held], pa.int64()), pa.ListArray.from_arrays(whole, pa.concat_arrays(keys)), pa.ListArray.from_arrays(whole, pa.array(each)), pa.array([encode_group(np.concatenate(ids))], pa.binary())]
             return pa.record_batch(columns, names=["part", "group", "n_ids", "doc_ids", "lengths", "payload"])
 
-        for batch in text_slices(batches, "text", LARGE_SLICE):
+        for batch in text_slices(batches, "text"):
             part = batch.column(2)[0].as_py()
             some, at = with_end(*words.encode(text_array(batch)), end_id)
             first, last = 0, len(at) - 1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,8 +12,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Text bytes that a Python worker handles at a time; and where larger slices save work, as each slice's distinct words count.
-SLICE_BYTES, LARGE_SLICE = 4 << 20, 8 << 20
+#: Text bytes that a Python worker handles at a time.
+SLICE_BYTES = 4 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -37,17 +38,34 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut record batches into runs of rows of about ``most`` bytes of text; a single longer text is a run of its own."""
+def stored(df: DataFrame, kind: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder. Spark knows a table's size, and may broadcast a small one."""
+    path = shared_folder(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release() -> None:
+    """Give a finished task's free memory back; the worker waits for further tasks while other stages use the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Cut record batches into runs of rows of about SLICE_BYTES of text; a single longer text is a run of its own."""
     for batch in batches:
         sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
         ends = np.cumsum(sizes)
         start = 0
         while start < len(sizes):
-            limit = (ends[start - 1] if start else 0) + most
+            limit = (ends[start - 1] if start else 0) + SLICE_BYTES
             stop = max(start + 1, int(np.searchsorted(ends, limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    release()
 
 
 def text_array(batch: pa.RecordBatch, column: str = "text") -> pa.Array:

@@ -10,7 +10,8 @@ first and few unrelated texts meet. The sample only decides what it costs; with
 Texts that meet at a shingle are candidates if their sizes allow the similarity. Of short runs all pairs are taken. Members of a
 long run are first compared with a few pivots of it; where that leaves more than one component in the run, all pairs over
 components are compared within the run, and one edge leaves it for each two components that it joins. There an upper bound
-saves most comparisons: sets share at most the sum, over bins of hashes, of the lesser number of shingles in the bin. Links come
+saves most comparisons: sets share at most the sum, over bins of hashes, of the lesser number of shingles in the bin; so only
+the bins' counts are sent to every run, and the sets of those that may be alike. Links come
 from an exact comparison, of the shingles or, within long runs, of their 64-bit hashes. A long run is held by one task, with its
 sets, and costs the square of its size where its members are not alike.
 
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise, shared_folder, text_slices
+from .shared import materialise, stored, text_slices
 from .simhash_grid import components, fingerprint_of_hashes, first_of_groups
 from .simhash_grid import links as grid_links
 
@@ -98,7 +99,7 @@ def starts_of(run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def first_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Of (h, size, node, label) sorted: pairs (h null, a > b) of different labels to compare, and the members (h, node as a, size
-    as b) of long runs."""
+    as b) of long runs, with a hash of all members as h."""
     for h, size, node, label in runs(batches, ("h", "size", "node", "label")):
         starts, sizes = starts_of(h)
         short = np.repeat(sizes <= SHORT, sizes)
@@ -113,6 +114,7 @@ def first_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
             s, who, of = size[part], node[part], label[part]
             if (of == of[0]).all():
                 continue
+            same = np.frombuffer(xxhash.xxh3_64_digest(np.sort(who).tobytes()), dtype=np.int64)
             at = 0
             while at < len(s):
                 end = int(np.searchsorted(s, 100 * int(s[at]) // percent, side="right"))
@@ -120,7 +122,7 @@ def first_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
                 us.append(np.full(len(others), who[at]))
                 vs.append(others)
                 at = end
-            hs.append(h[part])
+            hs.append(np.repeat(same, len(who)))  # runs with the same members are one
             ms.append(who)
             mb.append(s)
         pairs = np.stack([np.concatenate(us), np.concatenate(vs)], axis=1)
@@ -130,20 +132,59 @@ def first_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
             yield pa.record_batch([pa.array(np.concatenate(x)) for x in (hs, ms, mb)], names=["h", "a", "b"])
 
 
+#: The most that a bin's count can say.
+FULL = 65535
+
+
+def bins_of(found: np.ndarray) -> np.ndarray:
+    """How many of the hashes are in each bin."""
+    return np.minimum(np.bincount(found & (BINS - 1), minlength=BINS), FULL).astype(np.uint16)
+
+
+def may_be_alike(one: np.ndarray, rest: np.ndarray, size: int, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these counts and sizes can have the similarity: they share at most the lesser count of each bin."""
+    least = np.minimum(rest, one)
+    most = least.sum(axis=1, dtype=np.int64)
+    most[(least == FULL).any(axis=1)] = 1 << 40
+    most = np.minimum(most, np.minimum(sizes, size))
+    return 100 * most >= percent * (sizes + size - most)
+
+
+def run_open(size: np.ndarray, label: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """Which members of one run, sizes ascending, may be alike one of another label."""
+    open_ = np.zeros(len(size), dtype=bool)
+    for k in range(len(size)):
+        end = int(np.searchsorted(size, 100 * int(size[k]) // percent, side="right"))
+        for at in range(k + 1, end, BLOCK):
+            rest = np.arange(at, min(end, at + BLOCK))
+            rest = rest[label[rest] != label[k]]
+            rest = rest[may_be_alike(counts[k], counts[rest], int(size[k]), size[rest], percent)]
+            open_[rest] = True
+            open_[k] |= len(rest) > 0
+    return open_
+
+
+def rest_open(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of (h, size, node, label, bins) sorted: the (h, node) that may be alike another of their run."""
+    for h, size, node, label, bins in runs(batches, ("h", "size", "node", "label", "bins")):
+        for start, n in zip(*(x.tolist() for x in starts_of(h)), strict=True):
+            part = slice(start, start + n)
+            own = run_open(size[part], label[part], np.stack([np.frombuffer(b, dtype=np.uint16) for b in bins[part]]), percent)
+            yield pa.record_batch([pa.array(h[part][own]), pa.array(node[part][own])], names=["h", "node"])
+
+
 def run_edges(size: np.ndarray, node: np.ndarray, label: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Edges (u > v) that join what is alike over the components of one run, sizes ascending: one for each two that it joins."""
     ends = np.cumsum(size)
     flat = np.concatenate(sets)
-    row = np.repeat(np.arange(len(size)), size)
-    counts = np.bincount(row * BINS + (flat & (BINS - 1)), minlength=len(size) * BINS).astype(np.int32).reshape(-1, BINS)
+    counts = np.stack([bins_of(s) for s in sets])
     of, edges = label.copy(), []
     for k in range(len(size)):
         end = int(np.searchsorted(size, 100 * int(size[k]) // percent, side="right"))
         for at in range(k + 1, end, BLOCK):
             rest = np.arange(at, min(end, at + BLOCK))
             rest = rest[of[rest] != of[k]]
-            most = np.minimum(counts[rest], counts[k]).sum(axis=1, dtype=np.int64)
-            rest = rest[100 * most >= percent * (size[rest] + size[k] - most)]
+            rest = rest[may_be_alike(counts[k], counts[rest], int(size[k]), size[rest], percent)]
             if not len(rest):
                 continue
             theirs = np.concatenate([flat[ends[r] - size[r] : ends[r]] for r in rest.tolist()])
@@ -166,12 +207,6 @@ def rest_edges(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
         yield pa.record_batch([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
 
-def stored(df: DataFrame, kind: str) -> DataFrame:
-    path = shared_folder(df.sparkSession, kind)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def groups(rows: DataFrame, number: str, text: str, words: int = 5, percent: int = 80) -> DataFrame:
     """n, label: for each row's number the least number in its group. Rows are in one group if a path of pairs links them whose
     similarity is at least ``percent`` in a hundred. ``number`` is distinct, and the same whenever ``rows`` is read."""
@@ -213,11 +248,15 @@ def groups(rows: DataFrame, number: str, text: str, words: int = 5, percent: int
                 kept.append(alike(held["a"][1], held["b"][1], percent))
             yield pa.record_batch([batch.column("a"), batch.column("b")], names=["u", "v"]).filter(pa.array(kept, pa.bool_()))
 
+    def texts_of(numbers: DataFrame) -> DataFrame:
+        """The texts of some numbers. They are stored, so that Spark knows their size: few are broadcast, and no other text is moved."""
+        return texts.join(stored(numbers.distinct().toDF("n"), "numbers"), "n", "left_semi")
+
     def links(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a > b) that are alike. One b may be in most pairs, so its pairs are dealt over shares by a."""
-        pairs = materialise(pairs.groupBy("a", "b").agg(F.lit(1).alias("x")).select("a", "b", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int").alias("salt")))
-        with_a = pairs.join(texts.select(F.col("n").alias("a"), F.col("text").alias("ta")), "a")
-        with_b = pairs.select("b", "salt").distinct().join(texts.select(F.col("n").alias("b"), F.col("text").alias("tb")), "b")
+        pairs = stored(pairs.groupBy("a", "b").agg(F.lit(1).alias("x")).select("a", "b", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int").alias("salt")), "pairs")
+        with_a = pairs.join(texts_of(pairs.select("a")).toDF("a", "ta"), "a")
+        with_b = pairs.select("b", "salt").distinct().join(texts_of(pairs.select("b")).toDF("b", "tb"), "b")
         both = with_a.join(with_b, ["b", "salt"]).select("a", "b", "ta", "tb")
         return materialise(both.mapInArrow(compare, "u long, v long"))
 
@@ -239,7 +278,7 @@ def groups(rows: DataFrame, number: str, text: str, words: int = 5, percent: int
 
     edges = proposed.unionByName(links(met.filter("h is null").select("a", "b")))
     labels = components(edges)
-    long_ = met.filter("h is not null").select("h", F.col("a").alias("node"))
+    long_ = met.filter("h is not null").groupBy("h", F.col("a").alias("node")).agg(F.lit(1).alias("x")).select("h", "node")
     members = materialise(long_.join(labels, "node", "left").select("h", "node", F.coalesce("label", "node").alias("label")))
     open_ = members.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("h")
     rest = materialise(members.join(open_, "h", "left_semi"))
@@ -247,10 +286,14 @@ def groups(rows: DataFrame, number: str, text: str, words: int = 5, percent: int
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
             found = [hashes(t, words) for t in batch.column("text").to_pylist()]
-            yield pa.record_batch([batch.column("n"), pa.array([len(f) for f in found], pa.int64()), pa.array([f.tobytes() for f in found], pa.binary())], names=["node", "size", "found"])
-
-    used = texts.join(rest.select(F.col("node").alias("n")).distinct(), "n", "left_semi").mapInArrow(sets, "node long, size long, found binary")
-    rest = rest.join(used, "node").select("h", "size", "node", "label", "found").repartition(parts, "h").sortWithinPartitions("h", "size", "node")
+            yield pa.record_batch([batch.column("n"), pa.array([len(f) for f in found], pa.int64()), pa.array([bins_of(f).tobytes() for f in found], pa.binary()), pa.array([f.tobytes() for f in found], pa.binary())], names=["node", "size", "bins", "found"])
+
+    # A text is in many runs. First the counts alone go to them; sets follow only where two members may be alike.
+    used = stored(texts_of(rest.select("node")).mapInArrow(sets, "node long, size long, bins binary, found binary"), "sets")
+    sorted_by = lambda x: x.repartition(parts, "h").sortWithinPartitions("h", "size", "node")
+    counted = sorted_by(rest.join(used.select("node", "size", "bins"), "node").select("h", "size", "node", "label", "bins"))
+    left = stored(counted.mapInArrow(lambda b: rest_open(b, percent), "h long, node long"), "open")
+    rest = sorted_by(rest.join(left, ["h", "node"]).join(used.select("node", "size", "found"), "node").select("h", "size", "node", "label", "found"))
     more = materialise(rest.mapInArrow(lambda b: rest_edges(b, percent), "u long, v long").groupBy("u", "v").agg(F.lit(1).alias("x")).select("u", "v"))
     if more.limit(1).count():
         labels = components(edges.unionByName(more))

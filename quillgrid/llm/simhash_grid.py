@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise, shared_folder, text_slices
+from .shared import materialise, stored, text_slices
 
 BITS, SEGMENT = 64, 2
 #: Runs of a cell up to this length are compared pair by pair in one sweep over the batch.
@@ -276,9 +276,7 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     number = "__row"
     while number.lower() in {c.lower() for c in docs.columns}:
         number += "_"
-    path = shared_folder(docs.sparkSession, "numbered")
-    docs.withColumn(number, F.monotonically_increasing_id()).write.parquet(path)
-    return docs.sparkSession.read.parquet(path), number
+    return stored(docs.withColumn(number, F.monotonically_increasing_id()), "numbered"), number
 
 
 def first_of_groups(docs: DataFrame, key: str, grouped: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
@@ -289,8 +287,13 @@ def first_of_groups(docs: DataFrame, key: str, grouped: Callable[[DataFrame, str
     """
     rows, number = numbered(docs)
     keys = rows.select(F.col(f"`{number}`").alias("n"), F.col(f"`{key}`").alias("k"))
-    least = keys.join(grouped(rows, number), "n").groupBy("label").agg(F.min(F.struct(F.col("k").isNull().alias("last"), "k", "n")).alias("least"))
-    return rows.join(least.select(F.col("least.n").alias(number)), number, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    members = materialise(keys.join(grouped(rows, number), "n").select("n", "label", F.struct(F.col("k").isNull().alias("last"), "k", "n").alias("order")))
+    of = members.groupBy("label").agg(F.min("order").alias("least"), F.count("*").alias("size")).filter("size > 1")
+    # Of groups with several members (a third of all rows may be in one) all go but the least, dealt over shares.
+    salts = F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt")
+    dealt = members.withColumn("salt", F.pmod(F.xxhash64("n"), F.lit(SALTS)).cast("int"))
+    gone = dealt.join(of.select("label", F.col("least.n").alias("kept"), salts), ["label", "salt"]).filter("n <> kept").select(F.col("n").alias(number))
+    return rows.join(stored(gone, "gone"), number, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 2, distance: int = 7) -> DataFrame:
