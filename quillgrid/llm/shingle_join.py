@@ -35,8 +35,8 @@ from .simhash_grid import links as grid_links
 
 #: Runs up to this length are compared pair by pair.
 SHORT = 8
-#: Bins of the upper bound, texts in the sample, and shingles whose frequency is kept.
-BINS, SAMPLE, KNOWN = 128, 20000, 1 << 18
+#: Texts in the sample, and shingles whose frequency is kept.
+SAMPLE, KNOWN = 20000, 1 << 18
 #: Members of a long run that one is compared with at a time.
 BLOCK = 4096
 #: Bits within which fingerprints are proposed, and shares into which a hot member's pairs or copies are dealt.
@@ -133,12 +133,19 @@ def first_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
 
 
 #: The most that a bin's count can say.
-FULL = 65535
+FULL = 255
 
 
 def bins_of(found: np.ndarray) -> np.ndarray:
-    """How many of the hashes are in each bin."""
-    return np.minimum(np.bincount(found & (BINS - 1), minlength=BINS), FULL).astype(np.uint16)
+    """How many of the hashes are in each bin; there are more bins the more hashes, so that a bin holds four on average at most."""
+    width = max(64, 1 << (len(found) // 4).bit_length())
+    return np.minimum(np.bincount(found & (width - 1), minlength=width), FULL).astype(np.uint8)
+
+
+def halved(bins: np.ndarray) -> np.ndarray:
+    """The counts for half as many bins."""
+    half = len(bins) // 2
+    return np.minimum(bins[:half].astype(np.uint16) + bins[half:], FULL).astype(np.uint8)
 
 
 def may_be_alike(one: np.ndarray, rest: np.ndarray, size: int, sizes: np.ndarray, percent: int) -> np.ndarray:
@@ -150,50 +157,58 @@ def may_be_alike(one: np.ndarray, rest: np.ndarray, size: int, sizes: np.ndarray
     return 100 * most >= percent * (sizes + size - most)
 
 
-def run_open(size: np.ndarray, label: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
-    """Which members of one run, sizes ascending, may be alike one of another label."""
+def pair_may_be_alike(a: np.ndarray, b: np.ndarray, size_a: int, size_b: int, percent: int) -> bool:
+    while len(a) != len(b):
+        a, b = (halved(a), b) if len(a) > len(b) else (a, halved(b))
+    return bool(may_be_alike(a, b[None], size_a, np.array([size_b]), percent)[0])
+
+
+def open_pairs(size: np.ndarray, of: np.ndarray, bins: list[np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each member of one run, sizes ascending, the later ones of another label that may be alike. Labels may change meanwhile.
+    Sizes of alike sets are so near that one has at most twice the other's bins."""
+    width = np.array(list(map(len, bins)))
+    for w in np.unique(width).tolist():
+        own, next_ = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
+        index = np.concatenate([own, next_])
+        counts = np.stack([bins[k] for k in own.tolist()] + [halved(bins[k]) for k in next_.tolist()])
+        for j, k in enumerate(own.tolist()):
+            end = int(np.searchsorted(size[index], 100 * int(size[k]) // percent, side="right"))
+            for at in range(j + 1, end, BLOCK):
+                some = np.arange(at, min(end, at + BLOCK))
+                some = some[of[index[some]] != of[k]]
+                some = some[may_be_alike(counts[j], counts[some], int(size[k]), size[index[some]], percent)]
+                if len(some):
+                    yield k, index[some]
+
+
+def run_open(size: np.ndarray, label: np.ndarray, bins: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which members of one run may be alike one of another label."""
     open_ = np.zeros(len(size), dtype=bool)
-    for k in range(len(size)):
-        end = int(np.searchsorted(size, 100 * int(size[k]) // percent, side="right"))
-        for at in range(k + 1, end, BLOCK):
-            rest = np.arange(at, min(end, at + BLOCK))
-            rest = rest[label[rest] != label[k]]
-            rest = rest[may_be_alike(counts[k], counts[rest], int(size[k]), size[rest], percent)]
-            open_[rest] = True
-            open_[k] |= len(rest) > 0
+    for k, rest in open_pairs(size, label, bins, percent):
+        open_[rest] = open_[k] = True
     return open_
 
 
 def rest_open(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Of (h, size, node, label, bins) sorted: the (h, node) that may be alike another of their run."""
+    """Of (h, size, node, label, bins) sorted: the rows that may be alike another of their run."""
     for h, size, node, label, bins in runs(batches, ("h", "size", "node", "label", "bins")):
         for start, n in zip(*(x.tolist() for x in starts_of(h)), strict=True):
             part = slice(start, start + n)
-            own = run_open(size[part], label[part], np.stack([np.frombuffer(b, dtype=np.uint16) for b in bins[part]]), percent)
-            yield pa.record_batch([pa.array(h[part][own]), pa.array(node[part][own])], names=["h", "node"])
+            own = run_open(size[part], label[part], [np.frombuffer(b, dtype=np.uint8) for b in bins[part]], percent)
+            yield pa.record_batch([pa.array(x[part][own]) for x in (h, size, node, label)], names=["h", "size", "node", "label"])
 
 
 def run_edges(size: np.ndarray, node: np.ndarray, label: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Edges (u > v) that join what is alike over the components of one run, sizes ascending: one for each two that it joins."""
-    ends = np.cumsum(size)
-    flat = np.concatenate(sets)
-    counts = np.stack([bins_of(s) for s in sets])
     of, edges = label.copy(), []
-    for k in range(len(size)):
-        end = int(np.searchsorted(size, 100 * int(size[k]) // percent, side="right"))
-        for at in range(k + 1, end, BLOCK):
-            rest = np.arange(at, min(end, at + BLOCK))
-            rest = rest[of[rest] != of[k]]
-            rest = rest[may_be_alike(counts[k], counts[rest], int(size[k]), size[rest], percent)]
-            if not len(rest):
-                continue
-            theirs = np.concatenate([flat[ends[r] - size[r] : ends[r]] for r in rest.tolist()])
-            place = np.minimum(np.searchsorted(sets[k], theirs), len(sets[k]) - 1)
-            shared = np.add.reduceat((sets[k][place] == theirs).astype(np.int64), np.cumsum(size[rest]) - size[rest])
-            for r in rest[100 * shared >= percent * (size[rest] + size[k] - shared)].tolist():
-                if of[r] != of[k]:
-                    edges.append((max(node[r], node[k]), min(node[r], node[k])))
-                    of[of == of[r]] = of[k]
+    for k, rest in open_pairs(size, of, [bins_of(s) for s in sets], percent):
+        theirs = np.concatenate([sets[r] for r in rest.tolist()])
+        place = np.minimum(np.searchsorted(sets[k], theirs), len(sets[k]) - 1)
+        shared = np.add.reduceat((sets[k][place] == theirs).astype(np.int64), np.cumsum(size[rest]) - size[rest])
+        for r in rest[100 * shared >= percent * (size[rest] + size[k] - shared)].tolist():
+            if of[r] != of[k]:
+                edges.append((max(node[r], node[k]), min(node[r], node[k])))
+                of[of == of[r]] = of[k]
     return edges
 
 
@@ -230,9 +245,10 @@ def groups(rows: DataFrame, number: str, text: str, words: int = 5, percent: int
             same = [xxhash.xxh3_128_digest(f.tobytes()) for f in found]
             first = pa.array([prefix(f, known, often, percent) for f in found], pa.list_(pa.int64()))
             fp = pa.array([fingerprint_of_hashes(f) for f in found], pa.int64())
-            yield pa.record_batch([batch.column("n"), pa.array(same, pa.binary()), pa.array([len(f) for f in found], pa.int64()), first, fp], names=["n", "same", "size", "first", "fp"])
+            bins = pa.array([bins_of(f).tobytes() for f in found], pa.binary())
+            yield pa.record_batch([batch.column("n"), pa.array(same, pa.binary()), pa.array([len(f) for f in found], pa.int64()), first, fp, bins], names=["n", "same", "size", "first", "fp", "bins"])
 
-    sketches = stored(texts.mapInArrow(sketch, "n long, same binary, size long, first array<long>, fp long"), "sketches")
+    sketches = stored(texts.mapInArrow(sketch, "n long, same binary, size long, first array<long>, fp long, bins binary"), "sketches")
     nodes = materialise(sketches.groupBy("same").agg(F.min("n").alias("node")))
     of_node = sketches.join(nodes.select(F.col("node").alias("n")), "n", "left_semi").withColumnRenamed("n", "node")
 
@@ -252,13 +268,27 @@ def groups(rows: DataFrame, number: str, text: str, words: int = 5, percent: int
         """The texts of some numbers. They are stored, so that Spark knows their size: few are broadcast, and no other text is moved."""
         return texts.join(stored(numbers.distinct().toDF("n"), "numbers"), "n", "left_semi")
 
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = ([np.frombuffer(x, dtype=np.uint8) for x in batch.column(c).to_pylist()] for c in ("xa", "xb"))
+            sizes = (batch.column(c).to_pylist() for c in ("sa", "sb"))
+            kept = [pair_may_be_alike(*x, percent) for x in zip(*sides, *sizes, strict=True)]
+            yield pa.record_batch([batch.column(c) for c in ("a", "b", "salt")], names=["a", "b", "salt"]).filter(pa.array(kept, pa.bool_()))
+
+    def both_sides(pairs: DataFrame, of_a: DataFrame, of_b: DataFrame) -> DataFrame:
+        """Pairs with what their sides have. One b may be in most pairs, so its pairs are dealt over shares by a."""
+        with_b = pairs.select("b", "salt").distinct().join(of_b, "b")
+        return pairs.join(of_a, "a").join(with_b, ["b", "salt"])
+
     def links(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a > b) that are alike. One b may be in most pairs, so its pairs are dealt over shares by a."""
-        pairs = stored(pairs.groupBy("a", "b").agg(F.lit(1).alias("x")).select("a", "b", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int").alias("salt")), "pairs")
-        with_a = pairs.join(texts_of(pairs.select("a")).toDF("a", "ta"), "a")
-        with_b = pairs.select("b", "salt").distinct().join(texts_of(pairs.select("b")).toDF("b", "tb"), "b")
-        both = with_a.join(with_b, ["b", "salt"]).select("a", "b", "ta", "tb")
-        return materialise(both.mapInArrow(compare, "u long, v long"))
+        """Those of the pairs (a > b) that are alike: the upper bound leaves few whose texts are compared."""
+        salt = F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int").alias("salt")
+        pairs = materialise(pairs.groupBy("a", "b").agg(F.lit(1).alias("x")).select("a", "b", salt))
+        counts = of_node.select("node", "size", "bins")
+        found = both_sides(pairs, counts.toDF("a", "sa", "xa"), counts.toDF("b", "sb", "xb"))
+        pairs = stored(found.select("a", "b", "salt", "sa", "sb", "xa", "xb").mapInArrow(bounded, "a long, b long, salt int"), "pairs")
+        found = both_sides(pairs, texts_of(pairs.select("a")).toDF("a", "ta"), texts_of(pairs.select("b")).toDF("b", "tb"))
+        return materialise(found.select("a", "b", "ta", "tb").mapInArrow(compare, "u long, v long"))
 
     # Equal or near fingerprints: each node with the first of its fingerprint, and those firsts along the grid's edges.
     fps = materialise(of_node.select("node", "fp"))
@@ -285,15 +315,15 @@ def groups(rows: DataFrame, number: str, text: str, words: int = 5, percent: int
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
-            found = [hashes(t, words) for t in batch.column("text").to_pylist()]
-            yield pa.record_batch([batch.column("n"), pa.array([len(f) for f in found], pa.int64()), pa.array([bins_of(f).tobytes() for f in found], pa.binary()), pa.array([f.tobytes() for f in found], pa.binary())], names=["node", "size", "bins", "found"])
+            found = [hashes(t, words).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.record_batch([batch.column("n"), pa.array(found, pa.binary())], names=["node", "found"])
 
     # A text is in many runs. First the counts alone go to them; sets follow only where two members may be alike.
-    used = stored(texts_of(rest.select("node")).mapInArrow(sets, "node long, size long, bins binary, found binary"), "sets")
     sorted_by = lambda x: x.repartition(parts, "h").sortWithinPartitions("h", "size", "node")
-    counted = sorted_by(rest.join(used.select("node", "size", "bins"), "node").select("h", "size", "node", "label", "bins"))
-    left = stored(counted.mapInArrow(lambda b: rest_open(b, percent), "h long, node long"), "open")
-    rest = sorted_by(rest.join(left, ["h", "node"]).join(used.select("node", "size", "found"), "node").select("h", "size", "node", "label", "found"))
+    counted = sorted_by(rest.join(of_node.select("node", "size", "bins"), "node").select("h", "size", "node", "label", "bins"))
+    left = stored(counted.mapInArrow(lambda b: rest_open(b, percent), "h long, size long, node long, label long"), "open")
+    used = texts_of(left.select("node")).mapInArrow(sets, "node long, found binary")
+    rest = sorted_by(left.join(used, "node").select("h", "size", "node", "label", "found"))
     more = materialise(rest.mapInArrow(lambda b: rest_edges(b, percent), "u long, v long").groupBy("u", "v").agg(F.lit(1).alias("x")).select("u", "v"))
     if more.limit(1).count():
         labels = components(edges.unionByName(more))
