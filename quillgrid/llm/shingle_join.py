@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise, stored, text_slices
+from .shared import stored, text_slices
 from .simhash_grid import components, fingerprint_of_hashes, first_of_groups
 from .simhash_grid import links as grid_links
 
@@ -249,8 +249,8 @@ def groups(rows: DataFrame, number: str, text: str, words: int = 5, percent: int
             yield pa.record_batch([batch.column("n"), pa.array(same, pa.binary()), pa.array([len(f) for f in found], pa.int64()), first, fp, bins], names=["n", "same", "size", "first", "fp", "bins"])
 
     sketches = stored(texts.mapInArrow(sketch, "n long, same binary, size long, first array<long>, fp long, bins binary"), "sketches")
-    nodes = materialise(sketches.groupBy("same").agg(F.min("n").alias("node")))
-    of_node = sketches.join(nodes.select(F.col("node").alias("n")), "n", "left_semi").withColumnRenamed("n", "node")
+    nodes = stored(sketches.groupBy("same").agg(F.min("n").alias("node")), "part")
+    of_node = stored(sketches.drop("same").join(nodes.select(F.col("node").alias("n")), "n", "left_semi").withColumnRenamed("n", "node"), "nodes")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[int | None, set[bytes]]] = {"a": (None, set()), "b": (None, set())}  # rows come in runs of one side
@@ -283,16 +283,16 @@ def groups(rows: DataFrame, number: str, text: str, words: int = 5, percent: int
     def links(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a > b) that are alike: the upper bound leaves few whose texts are compared."""
         salt = F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int").alias("salt")
-        pairs = materialise(pairs.groupBy("a", "b").agg(F.lit(1).alias("x")).select("a", "b", salt))
+        pairs = stored(pairs.groupBy("a", "b").agg(F.lit(1).alias("x")).select("a", "b", salt), "part")
         counts = of_node.select("node", "size", "bins")
         found = both_sides(pairs, counts.toDF("a", "sa", "xa"), counts.toDF("b", "sb", "xb"))
         pairs = stored(found.select("a", "b", "salt", "sa", "sb", "xa", "xb").mapInArrow(bounded, "a long, b long, salt int"), "pairs")
         found = both_sides(pairs, texts_of(pairs.select("a")).toDF("a", "ta"), texts_of(pairs.select("b")).toDF("b", "tb"))
-        return materialise(found.select("a", "b", "ta", "tb").mapInArrow(compare, "u long, v long"))
+        return stored(found.select("a", "b", "ta", "tb").mapInArrow(compare, "u long, v long"), "part")
 
     # Equal or near fingerprints: each node with the first of its fingerprint, and those firsts along the grid's edges.
-    fps = materialise(of_node.select("node", "fp"))
-    first_of = materialise(fps.groupBy("fp").agg(F.min("node").alias("lead")))
+    fps = of_node.select("node", "fp")
+    first_of = stored(fps.groupBy("fp").agg(F.min("node").alias("lead")), "part")
     shares = F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt")
     dealt = fps.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
     equal = dealt.join(first_of.select("fp", "lead", shares), ["fp", "salt"]).filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
@@ -309,9 +309,9 @@ def groups(rows: DataFrame, number: str, text: str, words: int = 5, percent: int
     edges = proposed.unionByName(links(met.filter("h is null").select("a", "b")))
     labels = components(edges)
     long_ = met.filter("h is not null").groupBy("h", F.col("a").alias("node")).agg(F.lit(1).alias("x")).select("h", "node")
-    members = materialise(long_.join(labels, "node", "left").select("h", "node", F.coalesce("label", "node").alias("label")))
+    members = stored(long_.join(labels, "node", "left").select("h", "node", F.coalesce("label", "node").alias("label")), "part")
     open_ = members.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("h")
-    rest = materialise(members.join(open_, "h", "left_semi"))
+    rest = stored(members.join(open_, "h", "left_semi"), "part")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
@@ -324,7 +324,7 @@ def groups(rows: DataFrame, number: str, text: str, words: int = 5, percent: int
     left = stored(counted.mapInArrow(lambda b: rest_open(b, percent), "h long, size long, node long, label long"), "open")
     used = texts_of(left.select("node")).mapInArrow(sets, "node long, found binary")
     rest = sorted_by(left.join(used, "node").select("h", "size", "node", "label", "found"))
-    more = materialise(rest.mapInArrow(lambda b: rest_edges(b, percent), "u long, v long").groupBy("u", "v").agg(F.lit(1).alias("x")).select("u", "v"))
+    more = stored(rest.mapInArrow(lambda b: rest_edges(b, percent), "u long, v long").groupBy("u", "v").agg(F.lit(1).alias("x")).select("u", "v"), "part")
     if more.limit(1).count():
         labels = components(edges.unionByName(more))
     of = nodes.join(labels, "node", "left").select("same", F.coalesce("label", "node").alias("label"), shares)

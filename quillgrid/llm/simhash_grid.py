@@ -13,7 +13,7 @@ agree in one of three blocks of that part's bits, and only members with an equal
 that leaves two pairs in ten million, at 64 bits and D = 4. In a block, components are grown from a pivot: each member found is
 compared with those that are not yet in a component. A tight group costs its size, and yields an edge for each member rather
 than its pairs. Edges of all cells are joined to components by hooking roots and jumping pointers, in DataFrames, with a
-checkpoint each round.
+table written each round: Spark knows its size, so while few are left, joins need no exchange.
 
 Defined cases: a null or empty text, or one of blanks, has the fingerprint 0 and is linked like any other; a null doc_id gets a
 component but never names one unless all of it is null; repeated rows are kept each; an empty table gives an empty
@@ -225,21 +225,21 @@ def links(nodes: DataFrame, distance: int) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the least node that is connected, for all nodes of ``edges`` (u > v)."""
-    edges = materialise(edges)
+    edges = stored(edges, "links")
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    labels = materialise(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label")))
+    labels = stored(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label")), "links")
 
     def relabel(labels: DataFrame, moves: DataFrame) -> DataFrame:
         """Labels with those of ``moves`` (label, next) replaced. A label may hold a third of all nodes, so its nodes are salted."""
         salts = F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt")
         salted = labels.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-        return materialise(salted.join(moves.select("label", "next", salts), ["label", "salt"], "left").select("node", F.coalesce("next", "label").alias("label")))
+        return stored(salted.join(moves.select("label", "next", salts), ["label", "salt"], "left").select("node", F.coalesce("next", "label").alias("label")), "links")
 
     def jump(labels: DataFrame) -> DataFrame:
         """Each node gets its label's label, until labels are their own. Only distinct labels are looked up."""
         while True:
             used = labels.groupBy("label").agg(F.lit(1).alias("n")).select("label")
-            moves = materialise(used.join(labels.select(F.col("node").alias("label"), F.col("label").alias("next")), "label").filter("next <> label"))
+            moves = stored(used.join(labels.select(F.col("node").alias("label"), F.col("label").alias("next")), "label").filter("next <> label"), "links")
             if not moves.limit(1).count():
                 return labels
             labels = relabel(labels, moves)
@@ -248,7 +248,7 @@ def components(edges: DataFrame) -> DataFrame:
         labels = jump(labels)
         ends = [labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_root")) for c in ("u", "v")]
         open_ = edges.join(ends[0], "u").join(ends[1], "v").filter("u_root <> v_root")
-        edges = materialise(open_.select(F.greatest("u_root", "v_root").alias("u"), F.least("u_root", "v_root").alias("v")).groupBy("u", "v").agg(F.lit(1).alias("n")).select("u", "v"))
+        edges = stored(open_.select(F.greatest("u_root", "v_root").alias("u"), F.least("u_root", "v_root").alias("v")).groupBy("u", "v").agg(F.lit(1).alias("n")).select("u", "v"), "links")
         if not edges.limit(1).count():
             return labels
         labels = relabel(labels, edges.groupBy(F.col("u").alias("label")).agg(F.min("v").alias("next")))
