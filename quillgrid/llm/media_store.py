@@ -2,7 +2,7 @@
 
 A text's bytes, padded with blanks to whole rows of 192, are the samples of an 8-bit grey PNG, which is lossless. Each task
 appends its images to tar shards in the shared folder; a row carries the image's digest, its shard, offset and length. Equal
-payloads of a task are stored once and share an address; ``canonical`` gives equal digests of all tasks one address. Metadata
+payloads of a task are stored once and share an address; then ``canonical`` gives equal digests of all tasks one address. Metadata
 columns come from range reads of the image's first 33 bytes, and features from a range read of the rest.
 
 Shards have a name of their own for each attempt, so a task that runs again never touches a shard that rows point to. The rows
@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise, shared_folder, text_slices, texts_of
+from .shared import materialise, shared_folder, stored, text_slices, texts_of
 
 WIDTH = 192
 SHARD_BYTES = 256 << 20
@@ -36,6 +36,8 @@ HEADER_BYTES = 33
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Digests that a task remembers, so that equal payloads share an address; beyond it starts anew.
 MAX_DIGESTS = 200_000
+#: Shares into which the rows of a digest are dealt.
+SALTS = 8
 
 
 def payload_of(data: bytes) -> bytes:
@@ -135,9 +137,17 @@ def write_media(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "
 
 
 def canonical(rows: DataFrame) -> DataFrame:
-    """Rows with one address for each digest, the least; others' copies are then garbage for a compaction to drop."""
-    best = rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("a"))
-    return rows.drop("shard", "offset", "length").join(best, "digest").select(*(c for c in rows.columns if c not in ("shard", "offset", "length")), "a.*")
+    """Rows with one address for each digest, the least; others' copies are then garbage for a compaction to drop.
+
+    Only digests with several addresses are looked up. One may be a third of all rows, so rows are dealt over shares.
+    """
+    address = F.struct("shard", "offset", "length")
+    several = rows.groupBy("digest").agg(F.min(address).alias("a"), F.max(address).alias("b")).filter("a <> b")
+    shares = F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt")
+    several = stored(several.select("digest", "a"), "addresses").select("digest", "a", shares)
+    dealt = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    own = {c: F.coalesce(F.col(f"a.{c}"), F.col(c)).alias(c) for c in ("shard", "offset", "length")}
+    return dealt.join(several, ["digest", "salt"], "left").select(*(own.get(c, F.col(f"`{c}`")) for c in rows.columns))
 
 
 class ShardReader:
@@ -201,4 +211,4 @@ def features(rows: DataFrame, folder: str, key: str = "doc_id") -> DataFrame:
 
 def store_and_read(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     folder = shared_folder(docs.sparkSession, "media")
-    return features(with_metadata(write_media(docs, folder, key, text), folder), folder, key)
+    return features(with_metadata(canonical(write_media(docs, folder, key, text)), folder), folder, key)

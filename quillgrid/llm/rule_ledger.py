@@ -118,8 +118,11 @@ def repeated_line_chars(text: Column) -> Column:
 
 def measure(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The ledger: the input's columns with measurements and ``fail_bits``, one bit for each failed rule."""
-    m = F.col("`__m`")
-    got = docs.withColumn("__m", measurements(F.col(f"`{text}`")))
+    name = "__m"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    m = F.col(f"`{name}`")
+    got = docs.withColumn(name, measurements(F.col(f"`{text}`")))
     parts = {"n_words": m["w"]["n_words"], "word_chars": m["b"]["word_chars"], "n_symbols": m["b"]["n_symbols"], "n_lines": m["l"]["n_lines"], "n_dup_lines": m["l"]["n_dup_lines"], "n_repeat_words": m["w"]["n_repeat_words"]}
     if any("dup_line_chars" in r.fails for r in rules):
         parts["dup_line_chars"] = F.when(m["l"]["n_dup_lines"] >= 3, repeated_line_chars(F.col(f"`{text}`"))).otherwise(F.lit(0).cast("long"))

@@ -207,3 +207,12 @@ def test_bundles_are_sums_of_bound_rotations():
         want += v[0] * v[1] * v[2]
     got, has = hd_langid.bundles([text, "", "12 3"])
     assert np.array_equal(got[0], want) and has.tolist() == [True, False, False]
+
+
+def test_many_kinds_of_letters_are_bound_in_slices(monkeypatch):
+    rng = random.Random(4)
+    some = ["".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(3000)), "some words", "", "".join(chr(rng.randrange(0x4E00, 0x4F00)) for _ in range(900))]
+    whole, has = hd_langid.bundles(some)
+    monkeypatch.setattr(hd_langid, "KINDS", 500)
+    sliced, _ = hd_langid.bundles(some)
+    assert np.array_equal(whole, sliced) and has.tolist() == [True, True, False, True]

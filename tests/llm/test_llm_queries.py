@@ -67,6 +67,31 @@ def test_store_is_in_order(odd):
         at += r["n_tokens"]
     ids = [r["doc_id"] for r in sorted(rows, key=lambda r: r["start"])]
     assert ids[0] is None and ids[1:] == sorted(ids[1:])
+    want = collections.Counter((k, zlib.crc32(np.array([*ids_of(t), 0], "<u4").tobytes())) for k, t, _ in ROWS)
+    assert collections.Counter((r["doc_id"], r["ids_crc32"]) for r in rows) == want
+
+
+def test_media_columns(odd):
+    """Every column from the payload, with another PNG reader's steps: inflate, drop the filter bytes."""
+    got = collections.Counter(tuple(r[c] for c in ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")) for r in OPERATORS["media"](odd).collect())
+    want = collections.Counter()
+    for k, t, _ in ROWS:
+        data = (t or "").encode()
+        payload = data + b" " * (max(192, -(-len(data) // 192) * 192) - len(data))
+        image = media_store.to_png(payload)
+        at = image.index(b"IDAT")
+        lines = zlib.decompress(image[at + 4 : at + 4 + int.from_bytes(image[at - 4 : at], "big")])
+        assert b"".join(lines[n + 1 : n + 193] for n in range(0, len(lines), 193)) == payload
+        counts = collections.Counter(payload)
+        feature = f"192x{len(payload) // 192}x8 mean={sum(payload) / len(payload):.4f} distinct={len(counts)} top={1000 * max(counts.values()) // len(payload)}"
+        want[k, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(image), hashlib.sha256(image).hexdigest(), feature] += 1
+    assert got == want
+
+
+def test_packing_is_close_to_the_bound(odd):
+    rows = packing.pack(odd, PATH).collect()
+    sizes = [r["length"] for r in rows]
+    assert len({r["sequence_id"] for r in rows}) <= -(-sum(sizes) // 1024) + 1
 
 
 def check_shards(rows, out, shards=16):
@@ -213,6 +238,7 @@ def test_language(odd, spark):
     got = {r["doc_id"]: r for r in hd_langid.identify(odd).collect()}
     assert got[3]["lang_pred"] == got[4]["lang_pred"] == got[10]["lang_pred"] == "und"
     assert all(0 <= r["score"] <= 1 for r in got.values())
+    assert all(r["held_out"] == (zlib.crc32(("" if k is None else str(k)).encode()) % 3 == 1) for k, r in got.items())
     nothing = odd.withColumn("lang", odd["lang"].substr(100, 1)).filter("lang is null")
     assert {r["lang_pred"] for r in hd_langid.identify(nothing).collect()} <= {"und"}
 
@@ -253,31 +279,39 @@ def test_sql_twins(spark, name):
 
 @needs_data
 def test_pipeline(spark):
+    """Every stage by brute force."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    rows = [r.asDict() for r in docs.collect()]
-    by_text = {r["doc_id"]: r for r in rows}
+    by_key = {r["doc_id"]: r["text"] for r in docs.collect()}
+
+    def repeated_lines(text):
+        lines = [x for x in text.split("\n") if x.strip(" \t\n\r\v\f")]
+        seen, again = set(), []
+        for x in lines:
+            again += [x] * (x in seen)
+            seen.add(x)
+        chars = lambda xs: sum(len(re.sub(r"[\x20\x09-\x0D]", "", x)) for x in xs)
+        return len(again) >= 3 and 100 * len(again) > 30 * len(lines) and 100 * chars(again) > 10 * chars(lines)
 
     def good(text):
-        n, chars, symbols, dup, repeat = measured(text)
-        lines = len([x for x in text.split("\n") if x.strip(" \t\n\r\v\f")])
-        return n >= 20 and 100 * repeat <= 30 * n and 10 * symbols <= n and 100 * dup <= 30 * lines and 2 * n <= chars <= 12 * n
+        n, chars, symbols, _, repeat = measured(text)
+        return n >= 20 and 100 * repeat <= 30 * n and 10 * symbols <= n and not repeated_lines(text) and 2 * n <= chars <= 12 * n
 
     first = corpus_pipeline.quality_rules(spark, docs, SF)
-    assert first.columns == docs.columns
     left = sorted(r["doc_id"] for r in first.collect())
-    assert left == sorted(k for k, r in by_text.items() if good(r["text"]))
+    assert first.columns == docs.columns and left == sorted(k for k, t in by_key.items() if good(t))
     second = corpus_pipeline.language_id(spark, first, SF)
-    assert second.columns == docs.columns and second.count() == len(left)
+    predict = hd_langid.predictor(hd_langid.train(first))
+    langs, scores = predict([by_key[k] for k in left])
+    left = [k for k, x, s in zip(left, langs, scores, strict=True) if x != hd_langid.UNKNOWN and s >= corpus_pipeline.LEAST_LANGUAGE_SCORE]
+    assert second.columns == docs.columns and sorted(r["doc_id"] for r in second.collect()) == left
     third = corpus_pipeline.simhash_dedup(spark, second, SF)
-    fps = [simhash_grid.fingerprint(by_text[k]["text"], corpus_pipeline.SHINGLE_WORDS) & (2**64 - 1) for k in left]
-    want = sorted(set(grouped(left, fps, corpus_pipeline.DISTANCE)))
+    want = sorted({left[n] for n in jaccard_groups([by_key[k] for k in left])})
     assert third.columns == docs.columns and sorted(r["doc_id"] for r in third.collect()) == want
     last = corpus_pipeline.best_fit_packing(spark, third, SF).collect()
-    assert {r["doc_id"] for r in last} == set(want)
     total = collections.Counter()
     for r in last:
         total[r["doc_id"]] += r["length"]
-    assert total == {k: len(ids_of(by_text[k]["text"])) + 1 for k in want}
+    assert total == {k: len(ids_of(by_key[k])) + 1 for k in want}
 
 
 def test_stages_take_odd_rows(odd, spark):
