@@ -22,28 +22,32 @@ SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that policy 3 of the rule ledger keeps: a repeated line or two rejects nothing."""
+    """Documents that policy 3 of the rule ledger keeps: a repeated line or two rejects nothing. Null and empty texts go; repeated
+    rows are judged each; an empty table stays empty; all columns are kept, whatever their names."""
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text"))
     kept = rule_ledger.apply_policy(rule_ledger.measure(rows, rules=rule_ledger.ALL_RULES), 3, rule_ledger.ALL_RULES)
     return kept.filter("kept").select("row.*")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the corpus teaches; those without letters, or like none, go."""
+    """Documents in a language that the corpus teaches; those without letters, or like none, go. So do null texts, and all where no
+    row has a lang; repeated rows are judged each; an empty table stays empty; all columns are kept."""
     ship(spark)
     lang = hd_langid.language_column(docs)
     return docs.filter((lang["lang"] != hd_langid.UNKNOWN) & (lang["score"] >= LEAST_LANGUAGE_SCORE))
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest doc_id. Links are found and checked by the shingles
-    themselves: no fingerprint distance keeps all pairs of this similarity and no others."""
+    """One document of each near-duplicate group, the one with the smallest doc_id. The SimHash grid proposes near copies, each is
+    checked by its shingles, and a prefix filter completes the groups: no fingerprint distance keeps all pairs of this similarity.
+    Null doc_ids come last in a group, null and empty texts are one group, an empty table stays empty, all columns are kept."""
     ship(spark)
     return shingle_join.representatives(docs, words=SHINGLE_WORDS, percent=SIMILARITY_PERCENT)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining documents, packed into sequences of 1024 tokens."""
+    """Pieces of the remaining documents, packed into sequences of 1024 tokens. A null or empty text is the end id alone; repeated
+    rows are packed each; an empty table gives an empty result; other columns are left out."""
     ship(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 

@@ -11,8 +11,12 @@ from pyspark.sql.window import Window as W
 
 
 def shared_folder(spark: SparkSession, kind: str) -> str:
-    """A fresh folder name in spark.checkpoint.dir; in a temporary folder only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillgrid-")
+    """A fresh folder name in spark.checkpoint.dir; in a temporary folder where that is unset and Spark runs locally."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="quillgrid-")
     return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
