@@ -30,7 +30,7 @@ UNKNOWN = "und"
 #: Texts of a matrix product, and their most characters together.
 ROWS, CHARS = 512, 1 << 21
 #: Kinds of n-grams that are bound at a time, five kilobytes each.
-KINDS = 1 << 14
+KINDS = 1 << 12
 
 
 @lru_cache(maxsize=20_000)
@@ -105,12 +105,13 @@ def bundles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         kinds, grams = np.unique(grams, return_inverse=True)
     row = np.repeat(np.arange(int(has.sum())), sizes[has])
     total = np.zeros((int(has.sum()), DIMENSIONS), dtype=np.float32)
-    if len(kinds) > KINDS:
+    ordered = len(kinds) > 16 * KINDS
+    if ordered:
         order = np.argsort(grams, kind="stable")
         grams, row = grams[order], row[order]
     for low in range(0, len(kinds), KINDS):  # a slice of the kinds, however many there are
         some = kinds[low : low + KINDS]
-        part = slice(None) if len(kinds) <= KINDS else slice(*np.searchsorted(grams, [low, low + len(some)]))
+        part = slice(*np.searchsorted(grams, [low, low + len(some)])) if ordered else np.flatnonzero((grams >= low) & (grams < low + len(some)))
         counts = np.bincount(row[part] * len(some) + grams[part] - low, minlength=len(total) * len(some)).reshape(len(total), len(some))
         total += counts.astype(np.float32) @ bound_vectors(some, symbols)
     out[has] = total
@@ -204,7 +205,11 @@ def language_column(docs: DataFrame, key: str = "doc_id", text: str = "text", la
 
     @F.arrow_udf("lang string, score double")
     def identified(texts: pa.Array) -> pa.Array:
-        langs, scores = predict(texts.fill_null("").to_pylist())
+        langs, scores = [], []
+        for part in text_slices([pa.record_batch([texts], names=["text"])], "text"):
+            some = predict(texts_of(part))
+            langs += some[0]
+            scores += some[1]
         return pa.StructArray.from_arrays([pa.array(langs), pa.array(scores, pa.float64())], names=["lang", "score"])
 
     return identified(F.col(f"`{text}`").cast("string"))

@@ -32,7 +32,7 @@ BARE = r"^\n? ?\p{L}+$"
 #: What texts that Arrow cuts don't hold: white space other than single blanks and line feeds between other characters, or NUL.
 ODD = rf"[ \n][ \n]|^[ \n]| $|[\x00-\x09\x0b-\x1f\x7f{WHITE[4:]}]"
 #: Bytes of a word that a table keeps at most, one less than a multiple of eight; and words that it keeps.
-LONG, MAX_WORDS = 31, 1_000_000
+LONG, MAX_WORDS = 31, 600_000
 
 
 def word_keys(text: str) -> list[str]:
