@@ -11,7 +11,7 @@ Texts that meet at a shingle are candidates if their sizes allow the similarity.
 long run are first compared with a few pivots of it; where that leaves more than one component in the run, all pairs over
 components are compared within the run, and one edge leaves it for each two components that it joins. There an upper bound
 saves most comparisons: sets share at most the sum, over bins of hashes, of the lesser number of shingles in the bin; so only
-the bins' counts are sent to every run, and the sets of those that may be alike. Links come
+the bins' counts are sent to every run, and then the pairs that may be alike are compared, or, of a run with many, its sets. Links come
 from an exact comparison, of the shingles or, within long runs, of their 64-bit hashes. A long run is held by one task, with its
 sets, and costs the square of its size where its members are not alike.
 
@@ -39,6 +39,8 @@ SHORT = 8
 SAMPLE, KNOWN = 20000, 1 << 18
 #: Members of a long run that one is compared with at a time.
 BLOCK = 4096
+#: Pairs for each member of a long run that are compared outside the run.
+PAIRS = 8
 #: Bits within which fingerprints are proposed, and shares into which a hot member's pairs or copies are dealt.
 DISTANCE, SALTS = 4, 16
 
@@ -181,21 +183,25 @@ def open_pairs(size: np.ndarray, of: np.ndarray, bins: list[np.ndarray], percent
                     yield k, index[some]
 
 
-def run_open(size: np.ndarray, label: np.ndarray, bins: list[np.ndarray], percent: int) -> np.ndarray:
-    """Which members of one run may be alike one of another label."""
-    open_ = np.zeros(len(size), dtype=bool)
-    for k, rest in open_pairs(size, label, bins, percent):
-        open_[rest] = open_[k] = True
-    return open_
-
-
-def rest_open(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Of (h, size, node, label, bins) sorted: the rows that may be alike another of their run."""
+def rest_open(batches: Iterator[pa.RecordBatch], percent: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Of (h, size, node, label, bins) sorted: the pairs that may be alike (h null, node > other) of runs that have few, ``most`` for
+    each member. Of other runs the rows that may be alike another (other null)."""
+    names = ["h", "size", "node", "label", "other"]
     for h, size, node, label, bins in runs(batches, ("h", "size", "node", "label", "bins")):
         for start, n in zip(*(x.tolist() for x in starts_of(h)), strict=True):
             part = slice(start, start + n)
-            own = run_open(size[part], label[part], [np.frombuffer(b, dtype=np.uint8) for b in bins[part]], percent)
-            yield pa.record_batch([pa.array(x[part][own]) for x in (h, size, node, label)], names=["h", "size", "node", "label"])
+            own, open_, pairs, held = node[part], np.zeros(n, dtype=bool), [], 0
+            for k, rest in open_pairs(size[part], label[part], [np.frombuffer(b, dtype=np.uint8) for b in bins[part]], percent):
+                open_[rest] = open_[k] = True
+                held += len(rest)
+                if held <= most * n:
+                    pairs.append(np.stack([np.full(len(rest), own[k]), own[rest]], axis=1))
+            if held > most * n:
+                yield pa.record_batch([*(pa.array(x[part][open_]) for x in (h, size, node, label)), pa.nulls(int(open_.sum()), pa.int64())], names=names)
+            elif pairs:
+                both = np.sort(np.concatenate(pairs), axis=1)
+                none = pa.nulls(len(both), pa.int64())
+                yield pa.record_batch([none, none, pa.array(both[:, 1]), none, pa.array(both[:, 0])], names=names)
 
 
 def run_edges(size: np.ndarray, node: np.ndarray, label: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -222,9 +228,10 @@ def rest_edges(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
         yield pa.record_batch([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
 
-def groups(rows: DataFrame, number: str, text: str, words: int = 5, percent: int = 80) -> DataFrame:
+def groups(rows: DataFrame, number: str, text: str, words: int = 5, percent: int = 80, most: int = PAIRS) -> DataFrame:
     """n, label: for each row's number the least number in its group. Rows are in one group if a path of pairs links them whose
-    similarity is at least ``percent`` in a hundred. ``number`` is distinct, and the same whenever ``rows`` is read."""
+    similarity is at least ``percent`` in a hundred. A long run with more than ``most`` pairs a member is compared in one
+    task, so that no more pairs are emitted. ``number`` is distinct, and the same whenever ``rows`` is read."""
     spark = rows.sparkSession
     texts = rows.select(F.col(f"`{number}`").alias("n"), F.col(f"`{text}`").cast("string").alias("text"))
 
@@ -280,13 +287,14 @@ def groups(rows: DataFrame, number: str, text: str, words: int = 5, percent: int
         with_b = pairs.select("b", "salt").distinct().join(of_b, "b")
         return pairs.join(of_a, "a").join(with_b, ["b", "salt"])
 
-    def links(pairs: DataFrame) -> DataFrame:
+    def links(pairs: DataFrame, bound: bool = True) -> DataFrame:
         """Those of the pairs (a > b) that are alike: the upper bound leaves few whose texts are compared."""
         salt = F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int").alias("salt")
         pairs = stored(pairs.groupBy("a", "b").agg(F.lit(1).alias("x")).select("a", "b", salt), "part")
-        counts = of_node.select("node", "size", "bins")
-        found = both_sides(pairs, counts.toDF("a", "sa", "xa"), counts.toDF("b", "sb", "xb"))
-        pairs = stored(found.select("a", "b", "salt", "sa", "sb", "xa", "xb").mapInArrow(bounded, "a long, b long, salt int"), "pairs")
+        if bound:
+            counts = of_node.select("node", "size", "bins")
+            found = both_sides(pairs, counts.toDF("a", "sa", "xa"), counts.toDF("b", "sb", "xb"))
+            pairs = stored(found.select("a", "b", "salt", "sa", "sb", "xa", "xb").mapInArrow(bounded, "a long, b long, salt int"), "pairs")
         found = both_sides(pairs, texts_of(pairs.select("a")).toDF("a", "ta"), texts_of(pairs.select("b")).toDF("b", "tb"))
         return stored(found.select("a", "b", "ta", "tb").mapInArrow(compare, "u long, v long"), "part")
 
@@ -318,15 +326,17 @@ def groups(rows: DataFrame, number: str, text: str, words: int = 5, percent: int
             found = [hashes(t, words).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.record_batch([batch.column("n"), pa.array(found, pa.binary())], names=["node", "found"])
 
-    # A text is in many runs. First the counts alone go to them; sets follow only where two members may be alike.
+    # A text is in many runs. First the counts alone go to them. The pairs that may be alike are compared once over all runs; only
+    # where a run has many of them, sets follow.
     sorted_by = lambda x: x.repartition(parts, "h").sortWithinPartitions("h", "size", "node")
     counted = sorted_by(rest.join(of_node.select("node", "size", "bins"), "node").select("h", "size", "node", "label", "bins"))
-    left = stored(counted.mapInArrow(lambda b: rest_open(b, percent), "h long, size long, node long, label long"), "open")
+    left = stored(counted.mapInArrow(lambda b: rest_open(b, percent, most), "h long, size long, node long, label long, other long"), "open")
+    edges = edges.unionByName(links(left.filter("h is null").select(F.col("node").alias("a"), F.col("other").alias("b")), bound=False))
+    left = left.filter("h is not null").drop("other")
     used = texts_of(left.select("node")).mapInArrow(sets, "node long, found binary")
     rest = sorted_by(left.join(used, "node").select("h", "size", "node", "label", "found"))
-    more = stored(rest.mapInArrow(lambda b: rest_edges(b, percent), "u long, v long").groupBy("u", "v").agg(F.lit(1).alias("x")).select("u", "v"), "part")
-    if more.limit(1).count():
-        labels = components(edges.unionByName(more))
+    more = rest.mapInArrow(lambda b: rest_edges(b, percent), "u long, v long").groupBy("u", "v").agg(F.lit(1).alias("x")).select("u", "v")
+    labels = components(edges.unionByName(more))
     of = nodes.join(labels, "node", "left").select("same", F.coalesce("label", "node").alias("label"), shares)
     copies = sketches.select("n", "same", F.pmod(F.xxhash64("n"), F.lit(SALTS)).cast("int").alias("salt"))  # a text may be a third of all rows
     return copies.join(of, ["same", "salt"]).select("n", "label")

@@ -347,7 +347,8 @@ def jaccard_groups(texts, words=5):
     return label
 
 
-def test_near_copies_by_exact_similarity(spark):
+@pytest.mark.parametrize("most", [0, 8])
+def test_near_copies_by_exact_similarity(spark, most):
     rng = np.random.default_rng(3)
     common = " ".join(f"law{n}" for n in range(16))  # in every text: a long run of texts that are not alike
     texts = []
@@ -362,7 +363,7 @@ def test_near_copies_by_exact_similarity(spark):
     texts += [" ".join(f"h{n}" if n != k else f"x{k}" for n in range(60)) for k in range(40)]  # a large group of near copies
     order = rng.permutation(len(texts)).tolist()
     rows = spark.createDataFrame([(n, texts[k]) for n, k in enumerate(order)], "n long, text string").repartition(3)
-    got = {r["n"]: r["label"] for r in shingle_join.groups(rows, "n", "text").collect()}
+    got = {r["n"]: r["label"] for r in shingle_join.groups(rows, "n", "text", most=most).collect()}
     assert [got[n] for n in range(len(order))] == jaccard_groups([texts[k] for k in order])
 
 
