@@ -84,11 +84,11 @@ def chain(df: DataFrame, text: str, preset: Preset, out: str = "compacted") -> D
 
 
 def compact(df: DataFrame, key: str, text: str, preset: Preset = Preset()) -> DataFrame:
-    """Compacts each distinct text once and joins it back to its copies, which become references.
+    """Compacts each distinct text once and joins it back to its copies, which become references. A null text counts as empty.
 
     Risky texts pass unchanged but for escapes; where the checks give too little confidence the original stays.
     """
-    rows = df.select(key, F.col(text).alias("text")).withColumn("hash", F.sha2("text", 256))
+    rows = df.select(key, F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("hash", F.sha2("text", 256))
     first = rows.groupBy("hash").agg(F.min(key).alias("__first"))
     one = rows.join(first.select(F.col("__first").alias(key)), key, "left_semi")
     one = one.withColumn("entropy", F.coalesce(char_entropy_of("text"), F.lit(0.0))).withColumn("mode", classify.route(F.col("text"), F.col("entropy")))
@@ -99,6 +99,6 @@ def compact(df: DataFrame, key: str, text: str, preset: Preset = Preset()) -> Da
     back = (F.col("confidence") < verify.FALLBACK) | (F.col("mode") == "safe")
     one = one.withColumn("out", F.when(back, textops.ansi_strip(F.col("text"))).otherwise(F.col("compacted")))
     one = one.select("hash", "mode", "confidence", "stages", "out", token_estimate(F.col("out")).alias("__tokens"))
-    x = rows.join(first, "hash").join(one, "hash")
+    x = dedup.join_hot(rows, first.join(one, "hash"))
     copy = (F.col(key) != F.col("__first")) & F.lit(preset.ref_dedup)
     return x.select(key, "mode", "confidence", "stages", F.when(copy, F.concat(F.lit("§ref:"), F.substring("hash", 1, 16), F.lit("§"))).otherwise(F.col("out")).alias("compacted"), token_estimate(F.col("text")).alias("tokens_original"), F.when(copy, F.lit(dedup.REFERENCE_TOKENS).cast("long")).otherwise(F.col("__tokens")).alias("tokens_compacted"))

@@ -24,10 +24,24 @@ def with_hash(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def exact_dedup(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Each row's first occurrence. Partial aggregation reduces copies before anything moves, so a hot text is no hot partition."""
+    """Each row's first occurrence; null texts are copies of each other. Partial aggregation reduces copies before anything moves."""
     hashed = with_hash(df, text)
     first = hashed.groupBy("hash").agg(F.min(key).alias("first_id"), F.count("*").alias("copies"))
-    return hashed.join(first, "hash")
+    return join_hot(hashed, first)
+
+
+#: Shares into which the rows of a hash are dealt.
+SALTS = 8
+
+
+def join_hot(rows: DataFrame, by_hash: DataFrame) -> DataFrame:
+    """``rows`` with what ``by_hash`` has for their hash, also where it is null. One hash may be a third of all rows, so rows are dealt
+    over shares, and each share has its own copy of the other side, a row for each hash."""
+    known = lambda: F.coalesce("hash", F.lit("")).alias("__h")
+    shares = F.explode(F.array(*map(F.lit, range(SALTS)))).alias("__s")
+    dealt = rows.select("*", known(), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("__s"))
+    other = by_hash.select(*(F.col(c) for c in by_hash.columns if c != "hash"), known(), shares)
+    return dealt.join(other, ["__h", "__s"]).drop("__h", "__s")
 
 
 def ttl_outcomes(lookups: DataFrame, keys: list[str], ts: str, seconds: int = TTL_SECONDS, order: list[str] | None = None) -> DataFrame:
@@ -217,6 +231,7 @@ def line_deltas(pairs: DataFrame, keys: list[str], old: str, new: str, least: fl
         for f in frames:
             rows = []
             for o, n in zip(f[old], f[new], strict=True):
+                o, n = o or "", n or ""
                 a, b = Counter(o.split("\n")), Counter(n.split("\n"))
                 similarity = sum((a & b).values()) / max(sum(a.values()), sum(b.values()))
                 delta, changed = delta_text(o, n, "0" * 16) if similarity >= least else ("", 0)

@@ -68,15 +68,15 @@ def snippet(text: Column, query: list[str], around: int = 80) -> Column:
     return F.concat(F.when(start > 1, "…").otherwise(""), F.substring(text, start, end - start), F.when(end <= F.length(text), "…").otherwise(""))
 
 
-def vocabulary(df: DataFrame, key: str, text: str, k: int = 100) -> DataFrame:
-    """The k terms in most texts."""
+def vocabulary(df: DataFrame, key: str, text: str, k: int | None = 100) -> DataFrame:
+    """The k terms in most texts, or all terms, in no order."""
     ex = df.select(key, F.explode(F.array_distinct(terms(F.col(text)))).alias("term"))
-    return ex.groupBy("term").agg(F.count("*").alias("docs")).orderBy(F.desc("docs"), "term").limit(k)
+    counts = ex.groupBy("term").agg(F.count("*").alias("docs"))
+    return counts if k is None else counts.orderBy(F.desc("docs"), "term").limit(k)
 
 
 def nearest_terms(queries: DataFrame, vocab: DataFrame) -> DataFrame:
-    """For each query term, the vocabulary's nearest within two edits. Lengths differ by two at most, so the join is on a length
-    band, and of ASCII terms only."""
+    """For each query term, the vocabulary's nearest within two edits. Lengths differ by two at most, so the join is on the length."""
     bands = queries.withColumn("n", F.explode(F.array(*(F.length("q") + i for i in range(-2, 3)))))
     pairs = bands.join(vocab.withColumn("n", F.length("term")), "n").withColumn("d", F.levenshtein("q", "term")).filter("d between 1 and 2")
     best = pairs.groupBy("q").agg(F.min(F.struct("d", F.col("term"))).alias("m"))

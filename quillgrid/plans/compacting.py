@@ -26,11 +26,11 @@ def flagship_source_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens that compaction and deduplication save for each source: first occurrences are compacted, copies cost a reference."""
     from ..operators.account import totals
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
     hashed = docs.select("doc_id", "source", token_estimate(F.col("text")).alias("tin"), F.sha2("text", 256).alias("hash"))
     firsts = hashed.groupBy("hash").agg(F.min("doc_id").alias("first_id"))
     compacted = D.line_backrefs(docs.select("doc_id", D.condense(F.col("text")).alias("text")), "doc_id").select(F.col("doc_id").alias("first_id"), token_estimate(F.col("text")).alias("compact"))
-    x = hashed.join(firsts, "hash").join(compacted, "first_id")
+    x = D.join_hot(hashed, firsts.join(compacted, "first_id"))
     tout = F.when(F.col("doc_id") == F.col("first_id"), F.col("compact")).otherwise(F.lit(D.REFERENCE_TOKENS))
     return totals(x.withColumn("tout", tout), ["source"], "tin", "tout")
 

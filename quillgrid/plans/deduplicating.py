@@ -204,4 +204,4 @@ def cached_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = D.with_hash(table(spark, sf_dir, "documents"))
     first = d.groupBy("hash").agg(F.min("doc_id").alias("first_id"))
     seen = F.col("doc_id") > F.col("first_id")
-    return d.join(first, "hash").select("doc_id", F.when(seen, "ref").otherwise("fresh").alias("outcome"), F.when(seen, F.lit(D.REFERENCE_TOKENS)).otherwise(token_estimate(F.col("text"))).cast("long").alias("tokens"))
+    return D.join_hot(d, first).select("doc_id", F.when(seen, "ref").otherwise("fresh").alias("outcome"), F.when(seen, F.lit(D.REFERENCE_TOKENS)).otherwise(token_estimate(F.col("text"))).cast("long").alias("tokens"))

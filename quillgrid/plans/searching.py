@@ -76,13 +76,11 @@ def vocab_top100(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.vocabulary(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query(f"""WITH t AS (SELECT term FROM (SELECT term, count(*) AS n FROM (SELECT unnest(list_distinct({terms_sql("text")})) AS term FROM documents) GROUP BY term) WHERE n >= 5 AND regexp_matches(term, '^[a-z]{{4,8}}$')),
-q AS (SELECT DISTINCT substr(lower(split_part(p_name, ' ', 1)), 1, 6) AS q FROM part), p AS (SELECT q, term, levenshtein(q, term) AS d FROM q, t WHERE abs(length(q) - length(term)) <= 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, term) AS n FROM p WHERE d BETWEEN 1 AND 2)
-SELECT q, term, CAST(d AS INT) AS distance FROM r WHERE n = 1""")
+@query()
 def fuzzy_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocab = S.vocabulary(table(spark, sf_dir, "documents"), "doc_id", "text", 1 << 30).filter("docs >= 5").filter(F.col("term").rlike("^[a-z]{4,8}$")).select("term")
-    q = table(spark, sf_dir, "part").select(F.substring(F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))), 1, 6).alias("q")).distinct()
+    """The nearest of all terms of the documents, of two characters at least, for the first word of each part's name."""
+    vocab = S.vocabulary(table(spark, sf_dir, "documents"), "doc_id", "text", None).filter(F.length("term") >= 2).select("term")
+    q = table(spark, sf_dir, "part").select(F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("q")).distinct()
     return S.nearest_terms(q, vocab)
 
 

@@ -184,3 +184,37 @@ def test_files_and_envelopes(spark, tmp_path):
     assert [r["text"] for r in readers.read_texts(spark, str(tmp_path / "src"), "*.py").collect()] == ["x = 1\n"]
     bad = spark.createDataFrame([("{nope",), ('{"version":"9.0","session":{"id":1,"turns":[]}}',)], "envelope string")
     assert {r["error"] for r in envelope.load(bad).collect()} == {"no valid JSON", "a newer version"}
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_nearest_terms_by_brute_force(spark):
+    from quillgrid.operators import search
+
+    texts = [(1, "Red rad ready green greens grün blau blue of"), (2, "blu reed grean, straße strasse"), (3, None), (4, "")]
+    vocab = search.vocabulary(spark.createDataFrame(texts, "id long, text string"), "id", "text", None)
+    terms = {w for _, t in texts for w in (t or "").lower().replace(",", "").split()}
+    assert {r["term"] for r in vocab.collect()} == terms
+    queries = ["red", "rid", "green", "gruen", "blue", "strase", "zzzzzz"]
+    got = {r["q"]: (r["distance"], r["term"]) for r in search.nearest_terms(spark.createDataFrame([(q,) for q in queries], "q string"), vocab.select("term")).collect()}
+    want = {q: min(((edits(q, t), t) for t in terms if 1 <= edits(q, t) <= 2), default=None) for q in queries}
+    assert got == {q: w for q, w in want.items() if w}
+
+
+def test_null_empty_and_repeated_texts_stay(spark):
+    from quillgrid.operators import compact, dedup
+
+    rows = [(1, "a text"), (2, None), (3, "a text"), (4, ""), (5, None)] + [(10 + n, "hot") for n in range(50)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    got = {r["id"]: (r["first_id"], r["copies"]) for r in dedup.exact_dedup(df, "id").collect()}
+    assert got == {1: (1, 2), 3: (1, 2), 2: (2, 2), 5: (2, 2), 4: (4, 1)} | {10 + n: (10, 50) for n in range(50)}
+    out = {r["id"]: r["compacted"] for r in compact.compact(df, "id", "text").collect()}
+    assert set(out) == {k for k, _ in rows} and out[1] == "a text" and out[3].startswith("§ref:") and out[2] == ""
+    assert compact.compact(df.limit(0), "id", "text").count() == 0
