@@ -73,6 +73,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
+_K = url_filter.ORDER
+_LEVELS = ",\n".join(
+    f"""l{k} AS (SELECT substr(g, {_K + 1 - k}, {k + 1}) AS s, sum(a)::DOUBLE AS a, sum(r)::DOUBLE AS r FROM seen GROUP BY 1)"""
+    if k == 0
+    else f"""l{k} AS (SELECT substr(g, {_K + 1 - k}, {k + 1}) AS s, sum(a)::DOUBLE AS a, sum(r)::DOUBLE AS r FROM seen GROUP BY 1),
+c{k} AS (SELECT substr(s, 1, {k}) AS c, sum(a) AS n_a, sum(r) AS n_r, (count(*) FILTER (WHERE a > 0))::DOUBLE AS k_a, (count(*) FILTER (WHERE r > 0))::DOUBLE AS k_r FROM l{k} GROUP BY 1),
+p{k} AS (SELECT l.s, CASE WHEN n_a >= {url_filter.MIN_CONTEXT} THEN (l.a + k_a * p_a) / (n_a + k_a) ELSE p_a END AS p_a,
+    CASE WHEN n_r >= {url_filter.MIN_CONTEXT} THEN (l.r + k_r * p_r) / (n_r + k_r) ELSE p_r END AS p_r
+  FROM l{k} l JOIN c{k} ON c = substr(l.s, 1, {k}) JOIN p{k - 1} p ON p.s = substr(l.s, 2, {k}))"""
+    for k in range(_K + 1)
+).replace("FROM seen GROUP BY 1),\n", "FROM seen GROUP BY 1),\np0 AS (SELECT s, (a + 1) / (sum(a) OVER () + count(*) OVER ()) AS p_a, (r + 1) / (sum(r) OVER () + count(*) OVER ()) AS p_r FROM l0),\n", 1)
 OP1_SQL = f"""
 WITH cut AS (
   SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -89,37 +100,14 @@ ruled AS (
 rowed AS (
   SELECT row_number() OVER () AS r, *, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 1 WHEN rule IS NOT NULL THEN 0 END AS good,
     substr(md5(url), 1, 1) IN ('0','1','2','3','4') AS held,
-    translate(coalesce(url, ''), '{url_filter.UPPER}123456789', '{url_filter.LOWER}000000000') AS plain FROM ruled),
-letters AS (
-  SELECT r, good, held, i, strpos('{url_filter.ALPHABET}', substr(plain, i, 1)) AS c
-  FROM (SELECT r, good, held, plain, unnest(range(1, length(plain) + 1)) AS i FROM rowed)),
+    chr(2) || chr(2) || chr(2) || chr(2) || translate(coalesce(url, ''), '{url_filter.UPPER}', '{url_filter.LOWER}') AS pad FROM ruled),
 grams AS (
-  SELECT r, good, held, c, coalesce(lag(c) OVER w, {url_filter.START}) AS b, coalesce(lag(c, 2) OVER w, {url_filter.START}) AS a
-  FROM letters WINDOW w AS (PARTITION BY r ORDER BY i)),
+  SELECT r, good, held, substr(pad, i, {_K + 1}) AS g FROM (SELECT r, good, held, pad, unnest(range(1, length(pad) - {_K} + 1)) AS i FROM rowed)),
 seen AS (
-  SELECT a, b, c, sum(good) AS n_a, sum(1 - good) AS n_r FROM grams WHERE good IS NOT NULL AND NOT held GROUP BY a, b, c),
-grid AS (
-  SELECT x.s AS a, y.s AS b, z.s AS c, coalesce(n_a, 0) AS n_a, coalesce(n_r, 0) AS n_r
-  FROM (SELECT unnest(range({url_filter.SIZE})) AS s) x, (SELECT unnest(range({url_filter.SIZE})) AS s) y, (SELECT unnest(range({url_filter.SIZE})) AS s) z
-  LEFT JOIN seen ON seen.a = x.s AND seen.b = y.s AND seen.c = z.s),
-ones AS (SELECT c, sum(n_a) AS c_a, sum(n_r) AS c_r FROM grid GROUP BY c),
-every AS (SELECT sum(c_a)::DOUBLE AS all_a, sum(c_r)::DOUBLE AS all_r FROM ones),
-twos AS (SELECT b, c, sum(n_a) AS bc_a, sum(n_r) AS bc_r FROM grid GROUP BY b, c),
-of_b AS (SELECT b, sum(bc_a) AS bn_a, sum(bc_r) AS bn_r, count(*) FILTER (WHERE bc_a > 0) AS bt_a, count(*) FILTER (WHERE bc_r > 0) AS bt_r FROM twos GROUP BY b),
-of_ab AS (SELECT a, b, sum(n_a) AS an_a, sum(n_r) AS an_r, count(*) FILTER (WHERE n_a > 0) AS at_a, count(*) FILTER (WHERE n_r > 0) AS at_r FROM grid GROUP BY a, b),
-zero AS (
-  SELECT g.*, bc_a, bc_r, bn_a, bn_r, bt_a, bt_r, an_a, an_r, at_a, at_r,
-    (c_a::DOUBLE + 1) / (all_a + {url_filter.SIZE}) AS p0_a, (c_r::DOUBLE + 1) / (all_r + {url_filter.SIZE}) AS p0_r
-  FROM grid g JOIN ones USING (c) JOIN twos USING (b, c) JOIN of_b USING (b) JOIN of_ab USING (a, b), every),
-one AS (
-  SELECT *, CASE WHEN bn_a >= {url_filter.MIN_CONTEXT} THEN (bc_a::DOUBLE + bt_a::DOUBLE * p0_a) / greatest(bn_a::DOUBLE + bt_a::DOUBLE, 1.0) ELSE p0_a END AS p1_a,
-    CASE WHEN bn_r >= {url_filter.MIN_CONTEXT} THEN (bc_r::DOUBLE + bt_r::DOUBLE * p0_r) / greatest(bn_r::DOUBLE + bt_r::DOUBLE, 1.0) ELSE p0_r END AS p1_r FROM zero),
-model AS (
-  SELECT a, b, c, CAST(floor((
-    ln(CASE WHEN an_a >= {url_filter.MIN_CONTEXT} THEN (n_a::DOUBLE + at_a::DOUBLE * p1_a) / greatest(an_a::DOUBLE + at_a::DOUBLE, 1.0) ELSE p1_a END)
-    - ln(CASE WHEN an_r >= {url_filter.MIN_CONTEXT} THEN (n_r::DOUBLE + at_r::DOUBLE * p1_r) / greatest(an_r::DOUBLE + at_r::DOUBLE, 1.0) ELSE p1_r END)
-    ) * {url_filter.UNIT} + 0.5) AS BIGINT) AS llr FROM one),
-sums AS (SELECT r, sum(llr) AS s, count(*) AS n FROM grams JOIN model USING (a, b, c) GROUP BY r),
+  SELECT g, count(*) FILTER (WHERE good = 1 AND NOT held) AS a, count(*) FILTER (WHERE good = 0 AND NOT held) AS r FROM grams GROUP BY g),
+{_LEVELS},
+model AS (SELECT s AS g, CAST(floor((ln(p_a) - ln(p_r)) * {url_filter.UNIT} + 0.5) AS BIGINT) AS llr FROM p{_K}),
+sums AS (SELECT r, sum(llr) AS s, count(*) AS n FROM grams JOIN model USING (g) GROUP BY r),
 scored AS (
   SELECT rowed.*, CAST(greatest(-{url_filter.MOST}, least({url_filter.MOST}, floor(coalesce(s, 0)::DOUBLE / (greatest(coalesce(n, 0), 1) * {url_filter.BIN})))) AS BIGINT) AS score_bin
   FROM rowed LEFT JOIN sums USING (r)),

@@ -1,11 +1,14 @@
 """URL filter: host and path rules, and a character language-model ratio for the URLs that no rule fits. Built-in functions only.
 
 Two variable-order Markov models over URL characters, one for accepted and one for rejected URLs, are counted from the URLs
-that a rule decides. Orders 0 to 2 are interpolated by Witten-Bell smoothing; a context seen fewer than MIN_CONTEXT times is
-left out, so the order varies with the evidence. Both models become one table of log-likelihood differences, in whole
-millionths of a nat, of fixed size (ALPHABET's size to the third power) whatever the corpus is. A URL's score is the sum of
-its characters' differences over their number. A third of the decided URLs is held back from counting, and the threshold is
-the one that separates it best.
+that a rule decides. Orders 0 to ORDER are interpolated by Witten-Bell smoothing; a context seen fewer than MIN_CONTEXT times is
+left out, so the order varies with the evidence. Every character counts as itself (A-Z as a-z), and every distinct gram of the
+table has a row with its log-likelihood difference in whole millionths of a nat, so the models grow with the input. A URL's
+score is the sum of its grams' differences over their number. A third of the decided URLs is held back from counting, and the
+threshold is the one that separates it best.
+
+Grams that make up at least one in HOT of all occurrences are HOT at most whatever the corpus is: they are broadcast, and the
+others, none of them frequent, meet the model by an exchange.
 
 Defined cases: host and path of a null URL or one without ``://`` are empty; a null or empty URL that no rule fits is blocked;
 equal URLs get equal rows; without decided URLs every score is 0 and the threshold 0, which allows; an empty table gives an
@@ -17,19 +20,21 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import stored
 
 #: (rule, allowed): host and path in one; it fits the host and its subdomains and paths that begin so.
 RULES = (("com/", True), ("example.com/en/", False), ("www.example.com/en/", True), ("net/es/", False), ("net/fr/", False))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Characters that the models tell apart, after lower-casing and writing each digit as 0. Others are one symbol more, and the start another.
-ALPHABET = LOWER + "0/.-_?=&#:%~+@"
-SIZE = len(ALPHABET) + 2
-START = SIZE - 1
+#: The longest context, in characters, and what stands before a URL's first one.
+ORDER = 4
+START = "\x02"
 MIN_CONTEXT = 4
 UNIT = 1_000_000
+#: The number of grams that may be broadcast.
+HOT = 1 << 16
 #: Threshold candidates are steps of a thousandth of a nat up to these.
 BIN, MOST = 1000, 5000
 
@@ -52,61 +57,49 @@ def match_rules(host: Column, path: Column, rules: Sequence[tuple[str, bool]] =
     return rule, verdict
 
 
-def symbols(url: Column) -> Column:
-    """The URL as an array of small numbers: a character's place in ALPHABET from 1, or 0."""
-    plain = F.translate(F.coalesce(url, F.lit("")), UPPER + "123456789", LOWER + "000000000")
-    return F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c))
-
-
-def trigrams(url: Column) -> Column:
-    """For each character, its place in the table of models: the two symbols before it and its own."""
-    pad = F.concat(F.array(F.lit(START), F.lit(START)), symbols(url))
-    of = lambda s: F.zip_with(F.zip_with(F.slice(s, F.lit(1), F.size(s) - 2), F.slice(s, F.lit(2), F.size(s) - 2), lambda a, b: a * SIZE + b), F.slice(s, F.lit(3), F.size(s) - 2), lambda ab, c: ab * SIZE + c)
+def grams(url: Column) -> Column:
+    """For each character, itself after the ORDER before it."""
+    plain = F.translate(F.coalesce(url, F.lit("")), UPPER, LOWER)
+    pad = F.concat(F.array(*[F.lit(START)] * ORDER), F.filter(F.split(plain, ""), lambda c: c != ""))
+    of = lambda s: F.transform(F.slice(s, F.lit(ORDER + 1), F.size(s) - ORDER), lambda c, i: F.concat(*(F.get(s, i + k) for k in range(ORDER)), c))
     return F.element_at(F.transform(F.array(pad), of), 1)
 
 
-def models(decided: DataFrame) -> DataFrame:
-    """``g``, ``llr``: the log-likelihood differences of all trigrams in millionths. ``decided`` has ``gram`` (array) and ``good``."""
-    grams = decided.select("good", F.explode("gram").alias("g")).groupBy("g").agg(F.count_if("good").alias("a"), F.count_if(~F.col("good")).alias("r"))
-    grid = decided.sparkSession.range(SIZE**3).select(F.col("id").cast("int").alias("g"))
-    full = grid.join(F.broadcast(grams), "g", "left").select("g", F.coalesce("a", F.lit(0)).alias("n_a"), F.coalesce("r", F.lit(0)).alias("n_r"))
-    # Both tables have SIZE**3 rows at most, so gathering them by context is bounded whatever the corpus is.
-    full = full.withColumns({"c": F.col("g") % SIZE, "bc": F.col("g") % (SIZE * SIZE), "ab": F.floor(F.col("g") / SIZE).cast("int"), "b": F.floor((F.col("g") % (SIZE * SIZE)) / SIZE).cast("int")})
+def model(counts: DataFrame) -> DataFrame:
+    """``g``, ``n``, ``llr``: the log-likelihood difference of each gram in millionths. ``counts`` has a row for each gram of the
+    table, with its occurrences ``n`` and those in accepted (``a``) and rejected (``r``) URLs. A context has as many rows as
+    there are characters at most, so no key of these joins is hot."""
     sides = ("a", "r")
-    one = full.groupBy("c").agg(*(F.sum(f"n_{s}").alias(f"c_{s}") for s in sides))
-    whole = {s: one.agg(F.sum(f"c_{s}").cast("double")).scalar() for s in sides}
-    two = full.groupBy("bc").agg(F.first("b").alias("b"), *(F.sum(f"n_{s}").alias(f"bc_{s}") for s in sides))
-    kinds = lambda x, key, p: x.groupBy(key).agg(*(F.sum(f"{p}_{s}").alias(f"{key}_n_{s}") for s in sides), *(F.count_if(F.col(f"{p}_{s}") > 0).alias(f"{key}_t_{s}") for s in sides))
-    of_b, of_ab = kinds(two, "b", "bc"), kinds(full, "ab", "n")
-    x = full.join(F.broadcast(one), "c").join(F.broadcast(two.drop("b")), "bc").join(F.broadcast(of_b), "b").join(F.broadcast(of_ab), "ab")
-
-    def log_p(s: str) -> Column:
-        col = lambda n: F.col(f"{n}_{s}").cast("double")
-        p0 = (col("c") + 1) / (whole[s] + SIZE)
-        mixed = lambda seen, n, kinds, p: F.when(n >= MIN_CONTEXT, (seen + kinds * p) / F.greatest(n + kinds, F.lit(1.0))).otherwise(p)
-        p1 = mixed(col("bc"), col("b_n"), col("b_t"), p0)
-        return F.log(mixed(col("n"), col("ab_n"), col("ab_t"), p1))
-
+    level = lambda k: counts.groupBy(F.substring("g", ORDER + 1 - k, k + 1).alias("s")).agg(*(F.sum(x).cast("double").alias(x) for x in sides))
+    ones = level(0)
+    every = ones.agg(F.count("*").cast("double").alias("v"), *(F.sum(x).alias(f"n_{x}") for x in sides))
+    p = ones.crossJoin(F.broadcast(every)).select("s", *(((F.col(x) + 1) / (F.col(f"n_{x}") + F.col("v"))).alias(f"p_{x}") for x in sides))  # one row of totals
+    for k in range(1, ORDER + 1):
+        seen = level(k).withColumns({"c": F.substring("s", 1, k), "t": F.substring("s", 2, k)})
+        of = seen.groupBy("c").agg(*(F.sum(x).alias(f"n_{x}") for x in sides), *(F.count_if(F.col(x) > 0).cast("double").alias(f"k_{x}") for x in sides))
+        mixed = lambda x: F.when(F.col(f"n_{x}") >= MIN_CONTEXT, (F.col(x) + F.col(f"k_{x}") * F.col(f"p_{x}")) / (F.col(f"n_{x}") + F.col(f"k_{x}"))).otherwise(F.col(f"p_{x}"))
+        p = seen.join(of, "c").join(p.withColumnRenamed("s", "t"), "t").select("s", *(mixed(x).alias(f"p_{x}") for x in sides))
     # floor(x + 0.5), as round() at a half differs between engines
-    llr = F.floor((log_p("a") - log_p("r")) * UNIT + 0.5).cast("long")
-    return x.select("g", llr.alias("llr"))
+    llr = F.floor((F.log("p_a") - F.log("p_r")) * UNIT + 0.5).cast("long").alias("llr")
+    return p.select(F.col("s").alias("g"), llr).join(counts.select("g", "n"), "g")
 
 
-def scores(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """``rows`` with ``score_bin``: each character meets the table, of fixed size and so broadcast, and a row's sums are complete
-    before they are exchanged. ``rows`` needs a row number ``__r`` and the URL ``__u``."""
-    rest = [c for c in rows.columns if c != "__r"]
-    met = rows.withColumn("g", F.explode_outer(trigrams(F.col("__u")))).join(F.broadcast(model), "g", "left")
-    total = met.groupBy("__r").agg(*(F.first(c).alias(c) for c in rest), F.coalesce(F.sum("llr"), F.lit(0)).alias("__s"), F.count("g").alias("__n"))
-    step = F.floor(F.col("__s") / (F.greatest("__n", F.lit(1)) * BIN)).cast("long")
-    return total.withColumn("score_bin", F.greatest(F.lit(-MOST), F.least(F.lit(MOST), step)).cast("long")).drop("__s", "__n", "__r")
+def scores(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``__r`` and ``score_bin`` of the rows with a character. ``rows`` has a row number ``__r`` and the URL ``__u``."""
+    each = rows.select("__r", F.explode(grams(F.col("__u"))).alias("g"))
+    share = known.withColumn("hot", F.col("n") * HOT >= known.agg(F.sum("n")).scalar())
+    hot, rest = share.filter("hot").select("g", "llr"), share.filter("not hot").select("g", "llr")
+    part = lambda x: x.groupBy("__r").agg(F.sum("llr").alias("s"), F.count("*").alias("n"))
+    frequent = part(each.join(F.broadcast(hot), "g"))
+    others = part(each.join(F.broadcast(hot.select("g")), "g", "left_anti").join(rest, "g"))
+    total = frequent.unionByName(others).groupBy("__r").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    step = F.floor(F.col("s") / (F.col("n") * BIN)).cast("long")
+    return total.select("__r", F.greatest(F.lit(-MOST), F.least(F.lit(MOST), step)).cast("long").alias("score_bin"))
 
 
 def threshold(scored: DataFrame) -> DataFrame:
     """One row: ``bin``, the step from which a score is accepted that gives the largest sum of both classes' shares decided right;
     of equal ones the nearest to 0, then the smaller. ``scored`` has ``score_bin`` and ``good``; bins are few and bounded."""
-    from pyspark.sql import Window as W
-
     bins = scored.select("good", F.col("score_bin").alias("bin")).groupBy("bin").agg(F.count_if("good").alias("a"), F.count_if(~F.col("good")).alias("r"))
     bins = bins.unionByName(scored.sparkSession.range(1).select(F.lit(0).cast("long").alias("bin"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("r"))).groupBy("bin").agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
     up, every = W.orderBy("bin").rowsBetween(W.unboundedPreceding, -1), W.partitionBy()
@@ -123,10 +116,13 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules: Seque
     rows = rows.withColumns({"host": host, "path": path})
     rule, verdict = match_rules(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "said": verdict})
-    held = F.md5(F.encode(u, "UTF-8")).substr(1, 1).isin(*"01234")
-    decided = rows.filter("said is not null").select((F.col("said") == "allow").alias("good"), u, held.alias("held"))
-    model = materialise(models(decided.filter("not held").select("good", trigrams(u).alias("gram"))))
-    numbered = lambda x: x.withColumn("__r", F.monotonically_increasing_id())
-    least = threshold(scores(numbered(decided.filter("held")), model).select("good", "score_bin"))
-    own = F.when(F.coalesce(u, F.lit("")) == "", "block").when(F.col("score_bin") >= least.scalar(), "allow").otherwise("block")
-    return scores(numbered(rows), model).select(F.col("__k").alias(key), "host", "path", "rule", F.coalesce("said", own).alias("verdict"), "score_bin")
+    held = F.coalesce(F.md5(F.encode(u, "UTF-8")).substr(1, 1).isin(*"01234"), F.lit(False))
+    # Written once, so that row numbers are the same wherever the rows are read.
+    rows = stored(rows.withColumns({"rule": rule, "said": verdict, "held": held, "__r": F.monotonically_increasing_id()}), "urls")
+    of = lambda said: F.count_if((F.col("said") == said) & ~F.col("held"))
+    counts = stored(rows.select("said", "held", F.explode(grams(u)).alias("g")).groupBy("g").agg(F.count("*").alias("n"), of("allow").alias("a"), of("block").alias("r")), "grams")
+    scored = rows.join(scores(rows, stored(model(counts), "model")), "__r", "left").withColumn("score_bin", F.coalesce("score_bin", F.lit(0).cast("long")))
+    scored = stored(scored.select("__k", (F.coalesce(u, F.lit("")) == "").alias("blank"), "host", "path", "rule", "said", "held", "score_bin"), "scored")
+    least = threshold(scored.filter("held and said is not null").select((F.col("said") == "allow").alias("good"), "score_bin"))
+    own = F.when(F.col("blank"), "block").when(F.col("score_bin") >= least.scalar(), "allow").otherwise("block")
+    return scored.select(F.col("__k").alias(key), "host", "path", "rule", F.coalesce("said", own).alias("verdict"), "score_bin")

@@ -380,3 +380,16 @@ def test_a_repeated_line_rejects_no_clean_document(spark):
     texts = [f"See below\n{body}\nSee below", f"a title\na title\n{body}\na title", "\n".join(["buy the best things here now"] * 5 + [" ".join(f"word{n}" for n in range(40))]), body]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.quality_rules(spark, docs, SF).collect()) == [0, 1, 3]
+
+
+def test_url_model_contexts_and_shares(spark, monkeypatch):
+    """Contexts of four characters count, digits and letters of any script tell apart, and it makes no difference which grams are broadcast."""
+    rows = [(n, f"http://a{n}.com/{'абв' if n % 2 else 'ok'}/7{n % 10}") for n in range(60)] + [(100 + n, f"http://b{n}.net/fr/где/8{n % 10}") for n in range(60)]
+    rows += [(300, "http://x.org/абв/7"), (301, "http://x.org/где/8"), (302, "http://x.org/" + "ab" * 50000), (303, "x" * 3), (303, None), (304, "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string").repartition(4)
+    show = lambda: sorted((tuple(r) for r in url_filter.judge(pages).collect()), key=str)
+    every = show()
+    verdicts = {r[0]: r[4] for r in every}
+    assert verdicts[300] == "allow" and verdicts[301] == "block" and verdicts[304] == "block" and len(every) == len(rows)
+    monkeypatch.setattr(url_filter, "HOT", 20)
+    assert show() == every
