@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import difflib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from pyspark.sql.window import Window as W
 
 from ..functions.text import join_lines, let, lines, terms
@@ -75,14 +77,31 @@ def hash60(s: Column) -> Column:
     return F.conv(F.substring(F.md5(s.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def simhash60(df: DataFrame, key: str, text: str = "text", n: int = 3, weight: Column | None = None) -> DataFrame:
-    """60-bit SimHash by votes of word shingles, each with a weight of one or ``weight`` (of column ``s``).
+#: Rows of a text's hashes that are worked on at a time.
+STEP = 1 << 14
+BITS = np.arange(60, dtype=np.int64)
+
+
+def _votes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The bits that most of the weight sets, 0 without hashes."""
+
+    def one(h, w) -> int:
+        votes = np.zeros(60, dtype=np.int64)
+        for at in range(0, 0 if h is None else len(h), STEP):
+            bits = (np.asarray(h[at : at + STEP], dtype=np.int64)[:, None] >> BITS & 1) * 2 - 1
+            votes += np.asarray(w[at : at + STEP], dtype=np.int64) @ bits
+        return int(((votes > 0).astype(np.int64) << BITS).sum())
+
+    for f in frames:
+        yield f.assign(simhash=np.array([one(h, w) for h, w in zip(f["h"], f["w"], strict=True)], dtype=np.int64))[[f.columns[0], "simhash"]]
 
-    Shingles are exploded and each bit's votes summed in one aggregation with 60 sums: a row for each shingle, not for each bit.
-    """
-    ex = df.select(key, F.explode_outer(shingles(F.col(text), n)).alias("s")).withColumn("h", hash60(F.col("s"))).withColumn("w", weight if weight is not None else F.lit(1))
-    votes = [F.sum(F.when(F.col("h").bitwiseAND(F.lit(1 << b)) != 0, F.col("w")).otherwise(-F.col("w"))).alias(f"b{b}") for b in range(60)]
-    return ex.groupBy(key).agg(*votes).select(key, sum((F.when(F.col(f"b{b}") > 0, F.lit(1 << b)).otherwise(F.lit(0)) for b in range(60)), F.lit(0).cast("long")).cast("long").alias("simhash"))
+
+def simhash60(df: DataFrame, key: str, text: str = "text", n: int = 3, weight: Callable[[Column], Column] = lambda s: F.lit(1)) -> DataFrame:
+    """60-bit SimHash by votes of word shingles, each with a weight of one or ``weight`` of the shingle. A text's shingles stay in
+    its row, so nothing is exchanged; a null text and one without words have 0."""
+    s = shingles(F.col(text), n)
+    rows = df.select(key, F.transform(s, hash60).alias("h"), F.transform(s, lambda x: weight(x).cast("long")).alias("w"))
+    return rows.mapInPandas(_votes, StructType([rows.schema[0], StructField("simhash", LongType())]))
 
 
 def near_pairs(hashes: DataFrame, key: str, distance: int = 3, bands: int = 4) -> DataFrame:
@@ -100,14 +119,28 @@ def near_pairs(hashes: DataFrame, key: str, distance: int = 3, bands: int = 4) -
 PRIME, HASHES, ROWS = 2147483647, 64, 8
 
 
+def _minima(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    i = np.arange(HASHES, dtype=np.int64)
+    scale, shift = (2 * i + 1) * 7919, i * 104729
+
+    def one(b) -> list[int]:
+        least = np.full(HASHES, PRIME, dtype=np.int64)
+        for at in range(0, len(b), STEP):
+            least = np.minimum(least, ((np.asarray(b[at : at + STEP], dtype=np.int64)[:, None] * scale + shift) % PRIME).min(axis=0))
+        return least.tolist()
+
+    for f in frames:
+        yield f.assign(signature=[one(b) for b in f["b"]])[[f.columns[0], "signature"]]
+
+
 def minhash(df: DataFrame, key: str, text: str = "text", chars: int = 3) -> DataFrame:
-    """64 minima over a text's distinct character n-grams, as 64 aggregates of one row for each n-gram."""
-    c = F.col(text)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - chars + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(chars))))
-    base = F.conv(F.substring(F.md5(F.col("g").cast("binary")), 1, 7), 16, 10).cast("long")
-    ex = df.filter(F.length(c) >= chars).select(key, F.explode(grams).alias("g")).withColumn("base", base)
-    mins = [F.min((F.col("base") * (2 * i + 1) * 7919 + i * 104729) % PRIME).alias(f"m{i}") for i in range(HASHES)]
-    return ex.groupBy(key).agg(*mins).select(key, F.array(*(F.col(f"m{i}") for i in range(HASHES))).alias("signature"))
+    """64 minima over a text's distinct character n-grams, which stay in its row; null and shorter texts have the largest value
+    everywhere, so they are alike."""
+    at = lambda c: F.transform(F.slice(c, F.lit(1), F.greatest(F.size(c) - chars + 1, F.lit(0))), lambda x, i: F.concat(x, *(F.get(c, i + k) for k in range(1, chars))))
+    grams = F.array_distinct(let(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), ""), lambda x: x != ""), at))
+    base = lambda g: F.conv(F.substring(F.md5(g.cast("binary")), 1, 7), 16, 10).cast("long")
+    rows = df.select(key, F.transform(grams, base).alias("b"))
+    return rows.mapInPandas(_minima, StructType([rows.schema[0], StructField("signature", ArrayType(LongType()))]))
 
 
 def bands(signatures: DataFrame, key: str) -> DataFrame:
@@ -121,10 +154,43 @@ def signature_jaccard(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x)) / F.lit(float(HASHES))
 
 
-def lsh_candidates(banded: DataFrame, key: str) -> DataFrame:
-    """Each text with the smallest key it shares a band with; a bucket's members are linked to its least, not to each other."""
-    least = banded.groupBy("band", "bucket").agg(F.min(key).alias("least"), F.count("*").alias("n")).filter("n > 1")
-    return banded.join(least, ["band", "bucket"]).filter(F.col(key) != F.col("least")).select(F.col("least").alias("a"), F.col(key).alias("b")).distinct()
+def signature_classes(signatures: DataFrame, key: str) -> DataFrame:
+    """Each distinct signature with its least key ``rep`` and the number of its texts; copies are combined before anything moves."""
+    return signatures.groupBy("signature").agg(F.min(key).alias("rep"), F.count("*").alias("members"))
+
+
+def lsh_candidates(asked: DataFrame, classes: DataFrame, key: str) -> DataFrame:
+    """For each text of ``asked`` (key, signature), every class of texts, its own too, that shares a band with it: the class's least
+    key and its number of texts. Equal signatures among ``asked`` are looked up once, and a pair comes from its first shared band."""
+    of = classes.select("rep", "members", "signature")
+    mine = asked.select("signature").distinct().withColumn("__q", F.xxhash64("signature"))
+    theirs = bands(of, "rep").alias("t")
+    sides = bands(mine, "__q").alias("m")
+    met = sides.join(theirs, ["band", "bucket"]).groupBy("__q", "rep").agg(F.count("*").alias("shared"))
+    found = met.join(of.select("rep", "members"), "rep")
+    # xxhash64 only names a signature here; the join back compares the signatures themselves.
+    return asked.join(mine, "signature").join(found, "__q").select(key, "rep", "members", "shared")
+
+
+def recent_candidates(rows: DataFrame, stream: str, order: str, key: str, text: str = "text", most: int = 10, least: float = 0.6) -> DataFrame:
+    """For each text, the most recent of the ``most`` before it in its stream that shares enough lines with it, or none.
+
+    Only keys are numbered by a window; texts meet by equality of (stream, number), ``most`` times. Equal texts qualify. Null
+    texts count as empty, and an empty text is like an empty one only."""
+    numbered = rows.select(stream, F.col(order).alias("__o"), F.col(key).alias("__k"), F.coalesce(F.col(text), F.lit("")).alias("__t"))
+    place = numbered.select(stream, "__o", "__k").withColumn("__n", F.row_number().over(W.partitionBy(stream).orderBy("__o", "__k"))).select("__k", "__n")
+    numbered = numbered.join(place, "__k")
+    back = numbered.select(stream, F.col("__k").alias("__id"), F.col("__t").alias("__new"), "__n", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("back")).withColumn("__n", F.col("__n") - F.col("back"))
+    pairs = back.join(numbered.select(stream, "__n", F.col("__k").alias("__c"), F.col("__t").alias("__old")), [stream, "__n"])
+    alike = line_similarity(pairs, "__old", "__new", ["__id", "back", "__c"]).filter(F.col("similarity") >= least)
+    best = alike.groupBy("__id").agg(F.min_by(F.struct(F.col("__c").alias("candidate"), "similarity"), "back").alias("b"))
+    return place.select("__k").join(best, F.col("__k") == F.col("__id"), "left").select(F.col("__k").alias(key), "b.candidate", "b.similarity")
+
+
+def hybrid_similarity(bits: Column, lines_alike: Column, floor: float = 0.3) -> Column:
+    """The share of equal fingerprint bits (of 60) if it is under ``floor``, else the texts' line similarity."""
+    quick = 1 - F.bit_count(bits) / F.lit(60.0)
+    return F.when(quick < floor, quick).otherwise(lines_alike)
 
 
 def line_similarity(pairs: DataFrame, left: str, right: str, keys: list[str]) -> DataFrame:

@@ -20,22 +20,23 @@ def _of_counts(counts: np.ndarray, total: int) -> float:
 @F.pandas_udf(DoubleType())
 def byte_entropy_of(texts: pd.Series) -> pd.Series:
     """Entropy of bytes. A row for each byte would multiply the rows a thousandfold, so counting is a vectorised UDF."""
-    return texts.map(lambda t: _of_counts(np.bincount(np.frombuffer(t.encode(), dtype=np.uint8)), len(t.encode())) if t else None)
+    return texts.map(lambda t: _of_counts(np.bincount(np.frombuffer(t.encode(), dtype=np.uint8)), len(t.encode())) if t else 0.0)
 
 
 @F.pandas_udf(DoubleType())
 def char_entropy_of(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: _of_counts(np.unique(np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32), return_counts=True)[1], len(t.encode())) if t else None)
+    return texts.map(lambda t: _of_counts(np.unique(np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32), return_counts=True)[1], len(t.encode())) if t else 0.0)
 
 
 def byte_entropy(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Shannon entropy of each non-empty text's bytes."""
-    return df.filter(F.col(text) != "").select(key, byte_entropy_of(text).alias("entropy"))
+    """Shannon entropy of each text's bytes, 0 if it is null or empty."""
+    return df.select(key, byte_entropy_of(text).alias("entropy"))
 
 
 def char_entropy(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Entropy of a text's characters, with the number of bytes as the total: the shares of non-ASCII texts don't sum to 1."""
-    return df.filter(F.col(text) != "").select(key, char_entropy_of(text).alias("entropy"))
+    """Entropy of a text's characters, with the number of bytes as the total: the shares of non-ASCII texts don't sum to 1.
+    0 if the text is null or empty."""
+    return df.select(key, char_entropy_of(text).alias("entropy"))
 
 
 def quality_metrics(tokens: Column, size: Column, entropy: Column) -> tuple[Column, Column, Column]:
@@ -109,3 +110,13 @@ def cache_boundary(df: DataFrame, group: list[str], order: list[str], text: str,
     """Cumulative bytes before and after each turn, and whether the prefix of ``limit`` bytes ends in it."""
     end = F.sum(F.octet_length(text)).over(W.partitionBy(*group).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
     return df.withColumn("end_bytes", end).withColumn("start_bytes", F.col("end_bytes") - F.octet_length(text)).withColumn("holds_boundary", (F.col("start_bytes") < limit) & (F.col("end_bytes") >= limit))
+
+
+def should_evict(used: Column, ceiling: Column, threshold: float = 0.7) -> Column:
+    """Whether a context's use has reached the threshold's share of its ceiling; never without a ceiling."""
+    return F.when(ceiling == 0, False).otherwise(used / ceiling >= threshold)
+
+
+def previewed(df: DataFrame, tokens: str, over: int = 500) -> DataFrame:
+    """Rows whose text is long enough to be worth a preview."""
+    return df.filter(F.col(tokens) > over)

@@ -69,7 +69,7 @@ def simhash60(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {SHINGLES}, g AS (SELECT doc_id, CAST({_BITS} AS BIGINT) AS simhash FROM (SELECT doc_id, h, length(s) AS w FROM h) GROUP BY doc_id)
 SELECT doc_id, coalesce(simhash, 0) AS simhash FROM documents LEFT JOIN g USING (doc_id)""")
 def simhash_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.simhash60(table(spark, sf_dir, "documents"), "doc_id", weight=F.length("s"))
+    return D.simhash60(table(spark, sf_dir, "documents"), "doc_id", weight=F.length)
 
 
 @query(f"""{SIMHASH}, r AS (SELECT simhash, min(doc_id) AS doc_id FROM v GROUP BY simhash)
@@ -90,7 +90,7 @@ def simhash_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MINS = ", ".join(f"min((b * {(2 * i + 1) * 7919} + {i * 104729}) % 2147483647) AS m{i}" for i in range(64))
 _BANDS = " UNION ALL ".join("SELECT item_id, " + str(b) + " AS band, md5(" + " || ',' || ".join(f"m{i}" for i in range(8 * b, 8 * b + 8)) + ") AS bucket FROM m" for b in range(8))
 MINHASH = f"""WITH turns AS (SELECT conv_id * 100 + turn AS item_id, text FROM conversations), g AS (SELECT DISTINCT item_id, substr(text, i, 3) AS g FROM (SELECT item_id, text, unnest(range(1, length(text) - 1)) AS i FROM turns WHERE length(text) >= 3)),
-h AS (SELECT item_id, CAST('0x' || substr(md5(g), 1, 7) AS BIGINT) AS b FROM g), m AS (SELECT item_id, {_MINS} FROM h GROUP BY item_id), bands AS ({_BANDS})"""
+h AS (SELECT item_id, CAST('0x' || substr(md5(g), 1, 7) AS BIGINT) AS b FROM g), m AS (SELECT item_id, {_MINS} FROM h GROUP BY item_id UNION ALL SELECT item_id, {", ".join(["2147483647"] * 64)} FROM turns WHERE coalesce(length(text), 0) < 3), bands AS ({_BANDS})"""
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,10 +102,28 @@ def minhash_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.bands(D.minhash(turns(spark, sf_dir), "item_id"), "item_id")
 
 
-@query(f"""{MINHASH}, l AS (SELECT band, bucket, min(item_id) AS a FROM bands GROUP BY band, bucket HAVING count(*) > 1)
-SELECT DISTINCT a, item_id AS b FROM bands JOIN l USING (band, bucket) WHERE item_id <> a""")
+@query(f"""{MINHASH}, sig AS (SELECT item_id, string_agg(bucket, '' ORDER BY band) AS s FROM bands GROUP BY item_id), c AS (SELECT s, min(item_id) AS rep, count(*) AS members FROM sig GROUP BY s),
+met AS (SELECT q.item_id, b.item_id AS rep, count(*) AS shared FROM bands q JOIN bands b USING (band, bucket) WHERE q.item_id % 20 = 0 AND b.item_id IN (SELECT rep FROM c) GROUP BY ALL)
+SELECT item_id, rep, members, shared FROM met JOIN c USING (rep)""")
 def lsh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.lsh_candidates(D.bands(D.minhash(turns(spark, sf_dir), "item_id"), "item_id"), "item_id")
+    """Every class of turns with a common band, for the query set of keys divisible by 20, against all turns."""
+    m = D.minhash(turns(spark, sf_dir), "item_id")
+    return D.lsh_candidates(m.filter("item_id % 20 = 0"), D.signature_classes(m, "item_id"), "item_id")
+
+
+RECENT = f"""t AS (SELECT conv_id * 100 + turn AS item_id, conv_id, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, conv_id * 100 + turn) AS n FROM conversations),
+p AS (SELECT x.item_id, y.item_id AS c, x.n - y.n AS back, x.text AS l, y.text AS r FROM t x JOIN t y ON x.conv_id = y.conv_id AND x.n - y.n BETWEEN 1 AND 10),
+a AS (SELECT item_id, c, back, unnest({LINES.replace("text", "l")}) AS line, 0 AS side FROM p WHERE l <> '' UNION ALL SELECT item_id, c, back, unnest({LINES.replace("text", "r")}), 1 FROM p WHERE r <> ''),
+k AS (SELECT item_id, c, back, line, count(*) FILTER (WHERE side = 0) AS n0, count(*) FILTER (WHERE side = 1) AS n1 FROM a GROUP BY ALL),
+s AS (SELECT item_id, c, back, sum(least(n0, n1)) / greatest(sum(n0), sum(n1)) AS similarity FROM k GROUP BY ALL UNION ALL SELECT item_id, c, back, 1.0 FROM p WHERE l = '' AND r = ''),
+f AS (SELECT item_id, c, similarity, row_number() OVER (PARTITION BY item_id ORDER BY back) AS rn FROM s WHERE similarity >= 0.6)"""
+
+
+@query(f"WITH {RECENT} SELECT t.item_id, c AS candidate, round(similarity, 6)::DOUBLE AS similarity FROM t LEFT JOIN f ON f.item_id = t.item_id AND rn = 1")
+def recent_delta_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest of a conversation's ten turns before each turn that is like it."""
+    c = table(spark, sf_dir, "conversations").withColumn("item_id", F.col("conv_id") * 100 + F.col("turn"))
+    return D.recent_candidates(c, "conv_id", "turn", "item_id").withColumn("similarity", F.round("similarity", 6))
 
 
 @query(f"""{MINHASH} SELECT x.item_id AS a, y.item_id AS b, round(({" + ".join(f"(x.m{i} = y.m{i})::INT" for i in range(64))}) / 64.0, 6)::DOUBLE AS jaccard

@@ -218,3 +218,24 @@ def test_null_empty_and_repeated_texts_stay(spark):
     out = {r["id"]: r["compacted"] for r in compact.compact(df, "id", "text").collect()}
     assert set(out) == {k for k, _ in rows} and out[1] == "a text" and out[3].startswith("§ref:") and out[2] == ""
     assert compact.compact(df.limit(0), "id", "text").count() == 0
+
+
+def test_short_texts_have_hashes(spark):
+    rows = [(1, None), (2, ""), (3, "ab"), (4, "abcd"), (5, "abcd"), (6, "one two three four")]
+    d = spark.createDataFrame(rows, "id long, text string")
+    sigs = {r["id"]: r["signature"] for r in dedup.minhash(d, "id").collect()}
+    assert len(sigs) == 6 and sigs[1] == sigs[2] == sigs[3] == [dedup.PRIME] * 64 and sigs[4] == sigs[5] != sigs[6]
+    bits = {r["id"]: r["simhash"] for r in dedup.simhash60(d, "id").collect()}
+    assert bits[1] == bits[2] == 0 and bits[4] == bits[5] != 0
+    m = dedup.minhash(d, "id")
+    found = {(r["id"], r["rep"], r["members"]) for r in dedup.lsh_candidates(m.filter("id = 5"), dedup.signature_classes(m, "id"), "id").collect()}
+    assert found == {(5, 4, 2)}
+    assert {r["entropy"] for r in entropy.byte_entropy(d.filter("id < 3"), "id").collect()} == {0.0}
+
+
+def test_recent_candidates(spark):
+    rows = [(1, n, n, t) for n, t in enumerate(["a\nb\nc", "x", "a\nb\nd", None, "", *["q%d" % k for k in range(10)], "a\nb\nc"])] + [(2, 0, 100, "a\nb\nc")]
+    d = spark.createDataFrame(rows, "s long, turn long, id long, text string")
+    got = {r["id"]: (r["candidate"], r["similarity"]) for r in dedup.recent_candidates(d, "s", "turn", "id").collect()}
+    assert len(got) == len(rows) and got[2][0] == 0 and abs(got[2][1] - 2 / 3) < 1e-9 and got[4] == (3, 1.0)
+    assert got[15] == (None, None) and got[100] == (None, None) and got[0] == (None, None)
