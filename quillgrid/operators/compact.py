@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let, token_estimate
-from . import classify, dedup, textops, verify
+from . import classify, dedup, jsonops, textops, verify
 from .entropy import char_entropy_of
 
 
@@ -23,6 +23,9 @@ class Preset:
     fold_least: int = 3
     fold_over: int = 200
     abbreviate: bool = False
+    json: bool = True
+    max_string: int = 500
+    max_items: int = 10
     ref_dedup: bool = True
     off: tuple[str, ...] = ()
 
@@ -31,6 +34,8 @@ class Preset:
             raise ValueError("preset: a name is needed")
         if self.max_run < 1 or self.fold_least < 2:
             raise ValueError("preset: max_run must be at least 1 and fold_least at least 2")
+        if self.max_string < 1 or self.max_items < 1:
+            raise ValueError("preset: max_string and max_items must be at least 1")
 
     @classmethod
     def parse(cls, text: str) -> Preset:
@@ -83,16 +88,30 @@ def chain(df: DataFrame, text: str, preset: Preset, out: str = "compacted") -> D
     return df.withColumn("__state", state).select("*", F.col("__state.t").alias(out), F.col("__state.done").alias("stages")).drop("__state")
 
 
+def json_form(text: Column, preset: Preset) -> Column:
+    """A JSON text without noise, nulls and long strings and arrays, in the compact notation, where that has fewer bytes; other
+    texts as they are. It is parsed once."""
+    steps = (jsonops.project, jsonops.strip_nulls, lambda v: jsonops.truncate_strings(v, preset.max_string), lambda v: jsonops.collapse_arrays(v, preset.max_items))
+    return jsonops.shorter(text, *steps, out=jsonops.encode)
+
+
 def compact(df: DataFrame, key: str, text: str, preset: Preset = Preset()) -> DataFrame:
     """Compacts each distinct text once and joins it back to its copies, which become references. A null text counts as empty.
 
-    Risky texts pass unchanged but for escapes; where the checks give too little confidence the original stays.
+    JSON goes through ``json_form`` in place of the stages for lines. Risky texts pass unchanged but for escapes; where the checks
+    give too little confidence the original stays.
     """
     rows = df.select(key, F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("hash", F.sha2("text", 256))
     first = rows.groupBy("hash").agg(F.min(key).alias("__first"))
     one = rows.join(first.select(F.col("__first").alias(key)), key, "left_semi")
     one = one.withColumn("entropy", F.coalesce(char_entropy_of("text"), F.lit(0.0))).withColumn("mode", classify.route(F.col("text"), F.col("entropy")))
     one = chain(one, "text", preset)
+    if preset.json:
+        # A text that no bracket opens never reaches a Python worker's parser.
+        opened = F.substring(F.ltrim("text"), 1, 1).isin("{", "[")
+        one = one.withColumn("__json", json_form(F.when(opened, F.col("text")), preset))
+        written = F.col("__json").startswith("TOON:") & ~F.col("text").startswith("TOON:")
+        one = one.withColumn("compacted", F.when(written, F.col("__json")).otherwise(F.col("compacted"))).withColumn("stages", F.when(written, F.array(F.lit("json"))).otherwise(F.col("stages"))).drop("__json")
     passed = [f(F.col("text"), F.col("compacted")).alias(n) for n, f in verify.CHECKS.items()]
     one = one.select("*", *passed, verify.preservation(F.col("text"), F.col("compacted")).alias("preservation"))
     one = one.withColumn("confidence", verify.confidence([F.col(n) for n in verify.CHECKS], F.col("preservation")))

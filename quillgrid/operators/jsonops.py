@@ -6,7 +6,10 @@ Numbers keep their source digits; object keys come out sorted.
 from __future__ import annotations
 
 import json
+import math
 import re
+import statistics
+from collections import Counter
 from collections.abc import Callable
 from typing import Any
 
@@ -139,6 +142,57 @@ def project(v: Any, depth: int = 5, level: int = 0) -> Any:
     return kept
 
 
+def keep_informative(v: Any, least: int = 2) -> Any:
+    """An array's elements of at least the median entropy, those before there are ``least``, and a note on the others."""
+    if not isinstance(v, list) or len(v) <= 2:
+        return v
+    scores = [byte_entropy_of_one(dump(x)) for x in v]
+    middle, kept = statistics.median(scores), []
+    for x, score in zip(v, scores, strict=True):
+        if score >= middle or len(kept) < least:
+            kept.append(x)
+    gone = len(v) - len(kept)
+    return [*kept, f"[{gone} low-information elements omitted]"] if gone else kept
+
+
+def byte_entropy_of_one(text: str) -> float:
+    data = text.encode()
+    return -sum(n / len(data) * math.log2(n / len(data)) for n in Counter(data).values())
+
+
+def kind_of(v: Any) -> str:
+    """A value's kind by name, as scripts in browsers name it."""
+    if isinstance(v, bool):
+        return "boolean"
+    return "number" if isinstance(v, Number) else "string" if isinstance(v, str) else "object"
+
+
+def sample_array(v: Any, over: int = 5) -> Any:
+    """A longer array as its number of elements, its first one's shape, and its first and middle element."""
+    if not isinstance(v, list) or len(v) <= over:
+        return v
+    shape = {k: kind_of(x) for k, x in v[0].items()} if isinstance(v[0], dict) else {}
+    return {"_sampled": True, "count": Number(len(v)), "shape": shape, "examples": [v[0], v[len(v) // 2]]}
+
+
+#: The most elements an array keeps in each mode; None: all.
+MODES = {"minimal": None, "default": 10, "aggressive": 5}
+
+
+def squeeze(v: Any, mode: str = "default") -> str:
+    """A value in the compact notation, without nulls and with long arrays collapsed, but for the minimal mode."""
+    if mode == "minimal":
+        return encode(v)
+    return encode(collapse_arrays(strip_nulls(v), MODES[mode]))
+
+
+def shorter(text: str | Column, *steps: Callable[[Any], Any], out: Callable[[Any], str] | None = None) -> Column:
+    """The rewritten text where it has fewer bytes than the given one, else that."""
+    given = F.col(text) if isinstance(text, str) else text
+    new = rewrite(given, *steps, out=out or dump)
+    return F.when(F.octet_length(new) < F.octet_length(given), new).otherwise(given)
+
+
 BARE = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 
 

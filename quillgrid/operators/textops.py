@@ -283,3 +283,31 @@ def pack_blocks(text: Column, most: int = 512) -> Column:
         return let(F.aggregate(ls, start, step), lambda a: let(F.concat(a["ends"], F.array(a["n"])), lambda ends: F.transform(ends, lambda e, i: let(F.when(i > 0, F.get(ends, F.greatest(i - 1, F.lit(0)))).otherwise(F.lit(0)), lambda b: F.array_join(F.slice(ls, b + 1, e - b), "\n")))))
 
     return F.when(text == "", F.array().cast("array<string>")).otherwise(let(lines(text), cut))
+
+
+#: English function words, which carry little; a parameter of ``density_prune``.
+FUNCTION_WORDS = tuple("a about after all also an and any are as at be because been before but by can could did do does for from had has have he her here him his how if in into is it its just like may more most my no not now of on one only or other our out over she should so some such than that the their them then there these they this those through to under up us very was we were what when where which while who will with would you your".split())
+#: Fixed: sentences that name a source, a part of a document or a formula stay.
+CITATION = r"(?i)\[[\d,\s]+\]|\(\d{4}\)|et al|Fig\.|Table|Equation|Section|Chapter"
+FORMULA = r"[=<>{}()\[\]].*[=<>{}()\[\]]"
+
+
+def density(sentence: Column, common: tuple[str, ...] = FUNCTION_WORDS) -> Column:
+    """The share of a sentence's words of two letters or more that are not common ones, 0 without words."""
+    ws = F.filter(F.split(F.regexp_replace(F.lower(sentence), "[^a-z' ]", " "), r"\s+"), lambda w: F.length(w) > 1)
+    return let(ws, lambda w: F.when(F.size(w) == 0, 0.0).otherwise(F.size(F.filter(w, lambda x: ~x.isin(*common))) / F.size(w)))
+
+
+def density_prune(text: Column, over: int = 8, share: float = 0.15, common: tuple[str, ...] = FUNCTION_WORDS) -> Column:
+    """Of a text of more than ``over`` sentences, ``share`` of them go, the least dense ones first. The first and the last, short ones,
+    and those with digits, citations or formulas stay. All in the row; a null text stays null."""
+    parts = F.split(F.regexp_replace(text, r"(?<=[.!?])\s+", "\x01"), "\x01", -1)
+
+    def prune(ss: Column) -> Column:
+        last = F.size(ss) - 1
+        free = lambda x, i: (i > 0) & (i < last) & (F.size(F.split(x, r"\s+")) > 5) & ~x.rlike(r"\d") & ~x.rlike(CITATION) & ~x.rlike(FORMULA)
+        ranked = F.array_sort(F.filter(F.transform(ss, lambda x, i: F.when(free(x, i), F.struct(density(x, common).alias("d"), i.alias("i")))), lambda r: r.isNotNull()))
+        gone = F.transform(F.slice(ranked, F.lit(1), F.floor(F.size(ss) * share).cast("int")), lambda r: r["i"])
+        return let(gone, lambda g: F.array_join(F.filter(ss, lambda x, i: ~F.array_contains(g, i)), " "))
+
+    return let(parts, lambda ss: F.when(F.size(ss) > over, prune(ss)).otherwise(text))

@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-PLANS = ("accounting", "classifying", "coding", "compacting", "deduplicating", "json_queries", "ranking", "searching", "streams", "texts", "verifying")
+PLANS = ("accounting", "classifying", "coding", "compacting", "contexts", "deduplicating", "json_queries", "ranking", "searching", "streams", "texts", "verifying")
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillgrid.operators import classify, code, dedup, entropy, formatters, jsonops, mining, textops, verify
+from quillgrid.operators import classify, code, context, dedup, entropy, formatters, jsonops, mining, textops, verify
 from quillgrid.operators import compact as C
 from quillgrid.operators import search as S
 
@@ -239,3 +239,54 @@ def test_recent_candidates(spark):
     got = {r["id"]: (r["candidate"], r["similarity"]) for r in dedup.recent_candidates(d, "s", "turn", "id").collect()}
     assert len(got) == len(rows) and got[2][0] == 0 and abs(got[2][1] - 2 / 3) < 1e-9 and got[4] == (3, 1.0)
     assert got[15] == (None, None) and got[100] == (None, None) and got[0] == (None, None)
+
+
+def test_keep_informative():
+    kept = jsonops.keep_informative(jsonops.parse('["aaaaaaaa", "bbbbbbbb", "cccc", "abcdefgh", "the quick fox", "eeeeeeee", "dddd", 17]'))
+    assert kept[:2] == ["aaaaaaaa", "bbbbbbbb"] and "eeeeeeee" not in kept and "the quick fox" in kept and "abcdefgh" in kept and kept[-1] == "[1 low-information elements omitted]"
+    assert jsonops.keep_informative([1, 2]) == [1, 2] and jsonops.keep_informative({}) == {}
+
+
+def test_density_prune(spark):
+    dull, dense = "It was the one that they had been with.", "Quantum lattice spectra reveal hidden symmetry breaking."
+    ss = [dull, dense, dull, dense, dense, dense, "See Table of the one that is it.", "It is as it was at 7 of the day.", dull, "It is so.", dense, dull]
+    assert one(spark, textops.density_prune(F.col("t")), t=" ".join(ss)) == " ".join(ss[:2] + ss[3:])
+    assert one(spark, textops.density_prune(F.col("t")), t="A b. C d.") == "A b. C d." and one(spark, textops.density_prune(F.col("t")), t="") == ""
+
+
+def test_known_file_refs(spark):
+    rows = [(1, " --> a.rs:1\nat a.rs:2 and at b.rs:3"), (2, None), (3, ""), (4, " --> a.rsx:1"), (5, " --> a.rs"), *((n, "at a.rs:9") for n in range(10, 40))]
+    known = spark.createDataFrame([("a.rs",), ("a.rs",), ("c+(.rs",)], "path string")
+    got = {r["id"]: r["text"] for r in context.known_file_refs(spark.createDataFrame(rows, "id long, text string"), "id", "text", known, "path").collect()}
+    assert got[1] == " --> a.rs [in context]:1\nat a.rs [in context]:2 and at b.rs:3" and got[2] is None and got[3] == "" and got[4] == " --> a.rsx:1"
+    assert got[5] == " --> a.rs [in context]" and got[39] == "at a.rs [in context]:9" and len(got) == len(rows)
+
+
+def test_replay(spark):
+    turns = spark.createDataFrame([(1, 0, "a"), (1, 1, "b")], "c long, n long, text string")
+    more = spark.createDataFrame([(1, 0, "no, x")], "c long, n long, text string")
+    assert [r["text"] for r in context.replay(turns, more, "c", "n", "text").orderBy("part", "place").collect()] == ["a", "b", "no, x"]
+
+
+def test_read_modes(spark):
+    source = "import os\n\nclass Abcdefgh(Base):\n    value: int = 1234567890\n\ndef aa(aa):\n    aa = aa\n    aa = aa\n\ndef xyz(q, w, e):\n    return q * w + e / 97\n"
+    d = spark.createDataFrame([("src/m.py", source, source.replace("/ 97", "/ 98")), ("x.py", None, None)], "path string, text string, old string")
+    read = lambda mode, **k: {r["path"]: r for r in code.read_files(d, "path", "text", mode, **k).collect()}
+    assert read("full")["src/m.py"]["content"] == source and read("full")["x.py"]["content"] == ""
+    assert read("map")["src/m.py"]["content"] == "# m.py (11 lines)\nimports: 1\nstructs(1): Abcdefgh\nfns(2): aa, xyz" and read("map")["x.py"]["content"] == "# x.py (0 lines)"
+    low = read("entropy")["src/m.py"]["content"]
+    assert "def aa(aa): /* … */" in low and "return q * w + e / 97" in low and "aa = aa" not in low
+    assert read("diff", previous="old", context=1)["src/m.py"]["content"] == "  10: def xyz(q, w, e):\n> 11:     return q * w + e / 97"
+    assert read("task", intent=("VALUE",))["src/m.py"]["content"].startswith("class Abcdefgh") and read("task")["src/m.py"]["content"] == source
+    assert "> 1: import os" in read("lines")["src/m.py"]["content"] and "def xyz" in read("signatures")["src/m.py"]["content"]
+    with pytest.raises(ValueError):
+        code.read_files(d, "path", "text", "other")
+
+
+def test_compact_json(spark):
+    rows = [(1, '{"a": 1, "gone": null, "names": ["x", "y"],   "text": "' + "z" * 40 + '"}'), (2, "[1, 2"), (3, '{"a": 1, "gone": null, "names": ["x", "y"],   "text": "' + "z" * 40 + '"}'), (4, None), (5, "plain\nplain\nplain\nplain\nplain")]
+    d = spark.createDataFrame(rows, "id long, text string")
+    got = {r["id"]: r for r in C.compact(d, "id", "text").collect()}
+    assert got[1]["stages"] == ["json"] and got[1]["compacted"] == 'TOON:{a:1,names:["x","y"],text:"' + "z" * 40 + '"}'
+    assert got[2]["compacted"] == "[1, 2" and got[3]["compacted"].startswith("§ref:") and got[4]["compacted"] == "" and "condense" in got[5]["stages"]
+    assert {r["id"]: r["compacted"] for r in C.compact(d, "id", "text", C.Preset(json=False)).collect()}[1] == rows[0][1]
