@@ -72,8 +72,8 @@ def model(counts: DataFrame) -> DataFrame:
     sides = ("a", "r")
     level = lambda k: counts.groupBy(F.substring("g", ORDER + 1 - k, k + 1).alias("s")).agg(*(F.sum(x).cast("double").alias(x) for x in sides))
     ones = level(0)
-    every = ones.agg(F.count("*").cast("double").alias("v"), *(F.sum(x).alias(f"n_{x}") for x in sides))
-    p = ones.crossJoin(F.broadcast(every)).select("s", *(((F.col(x) + 1) / (F.col(f"n_{x}") + F.col("v"))).alias(f"p_{x}") for x in sides))  # one row of totals
+    whole = lambda x: ones.agg(F.sum(x) + F.count("*")).scalar()
+    p = ones.select("s", *(((F.col(x) + 1) / whole(x)).alias(f"p_{x}") for x in sides))
     for k in range(1, ORDER + 1):
         seen = level(k).withColumns({"c": F.substring("s", 1, k), "t": F.substring("s", 2, k)})
         of = seen.groupBy("c").agg(*(F.sum(x).alias(f"n_{x}") for x in sides), *(F.count_if(F.col(x) > 0).cast("double").alias(f"k_{x}") for x in sides))
