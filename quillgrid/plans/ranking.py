@@ -10,6 +10,7 @@ from ..functions.text import table, token_estimate
 from ..operators import classify as C
 from ..operators import entropy as E
 from ..operators import mining as M
+from ..operators import phrases as P
 from ..registry import query
 from .texts import LINES
 
@@ -124,7 +125,7 @@ _GRAMS = " UNION ALL ".join("SELECT word" + "".join(f" || ' ' || w{k}" for k in
 c AS (SELECT gram, count(*) AS n FROM k WHERE strlen(gram) >= 10 GROUP BY gram HAVING count(*) >= 3)
 SELECT gram, n, CAST((n - 1) * (strlen(gram) - 4) AS BIGINT) AS savings FROM c ORDER BY savings DESC, gram LIMIT 20""")
 def ngram_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.ngrams(table(spark, sf_dir, "documents"), "doc_id").orderBy(F.desc("savings"), "gram").limit(20)
+    return P.top_ngrams(table(spark, sf_dir, "documents"))
 
 
 @query(f"""WITH {WORDS}, p AS (SELECT doc_id, word AS a, lead(word) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM w), c AS (SELECT doc_id, a, b, count(*) AS n FROM p WHERE b IS NOT NULL GROUP BY doc_id, a, b HAVING count(*) >= 3)

@@ -290,3 +290,25 @@ def test_compact_json(spark):
     assert got[1]["stages"] == ["json"] and got[1]["compacted"] == 'TOON:{a:1,names:["x","y"],text:"' + "z" * 40 + '"}'
     assert got[2]["compacted"] == "[1, 2" and got[3]["compacted"].startswith("§ref:") and got[4]["compacted"] == "" and "condense" in got[5]["stages"]
     assert {r["id"]: r["compacted"] for r in C.compact(d, "id", "text", C.Preset(json=False)).collect()}[1] == rows[0][1]
+
+
+def test_best_phrases_by_brute_force(spark):
+    import random
+
+    from quillgrid.operators import mining, phrases
+
+    pick = random.Random(7)
+    texts = [" ".join(pick.choice(("alpha", "beta", "g", "delta\u2003é", "ooo\n\n")) if pick.random() < 0.3 else f"word{pick.randrange(900)}" for _ in range(400)) for _ in range(40)]
+    texts += [None, "", "a b", *["the licence of this text is free for all to use and to change"] * 60, *[f"see the page {k} of the book for more" for k in range(30)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(3)
+    for most in (1, 5, 20, 5000):
+        assert phrases.top_ngrams(df, most=most).collect() == mining.ngrams(df, "id").orderBy(F.desc("savings"), "gram").limit(most).collect()
+    # Few n-grams are moved where few are asked for.
+    assert phrases.candidates(df, "text", 5, 3, 8, 3, 10).count() < 200 < mining.ngrams(df, "id", least=1).count() / 100
+
+
+def test_a_phrase_of_long_words_and_of_a_long_text(spark):
+    from quillgrid.operators import mining, phrases
+
+    df = spark.createDataFrame([(0, " ".join(["x" * 3000, "y"] * 300)), (1, "p q r stuvwxyz " * 90000)], "id int, text string")
+    assert phrases.top_ngrams(df, most=7).collect() == mining.ngrams(df, "id").orderBy(F.desc("savings"), "gram").limit(7).collect()
