@@ -34,7 +34,7 @@ def stream_invalidation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH n AS (SELECT event_id, row_number() OVER (PARTITION BY event_type, user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS n FROM events)
 SELECT event_id, CASE WHEN n <= 3 THEN 'normal' WHEN n <= 8 THEN 'reduced' ELSE 'blocked' END AS level FROM n""")
 def stream_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.run(S.throttle(events(spark, sf_dir).withColumn("day", F.to_date("ts"))), "throttle")
+    return S.throttle(events(spark, sf_dir).withColumn("day", F.to_date("ts")))
 
 
 @query(f"WITH {BUDGET} SELECT event_id, CAST(used AS BIGINT) AS used, before < 1400 AND used >= 1400 AS crossed FROM b")

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window as W
 
 from ..sources.store import shared_folder
 
@@ -81,13 +82,36 @@ def invalidating(stream: DataFrame, control: str) -> DataFrame:
     return keyed(stream, ["user_id"], "known array<string>", ([],), step, "event_id long, outcome string")
 
 
-def throttle(stream: DataFrame, normal: int = 3, reduced: int = 8) -> DataFrame:
-    def step(state: tuple, rows: pd.DataFrame) -> tuple[tuple, dict]:
-        n = state[0]
-        levels = ["normal" if k <= normal else "reduced" if k <= reduced else "blocked" for k in range(n + 1, n + 1 + len(rows))]
-        return (n + len(rows),), {"event_id": rows["event_id"], "level": levels}
+def numbered(stream: DataFrame, kind: str, keys: list[str], trigger: dict | None = None) -> DataFrame:
+    """Number of each event among those of its keys, in order of time and over all batches, as a table of the shared folder.
+
+    Where keys are about as many as events, a Python call for each key takes most of the time, so numbers are a window over the batch,
+    and what came before is a table of counts: each batch adds its own, and each sixteenth the sums of all so far.
+    """
+    folder, every = shared_folder(stream.sparkSession, kind), 16
+
+    def write(batch: DataFrame, n: int) -> None:
+        w = W.partitionBy(*keys).orderBy(F.asc_nulls_last("micros"), F.asc_nulls_last("event_id"))
+        rows, counts = batch.select(*keys, "event_id", F.row_number().over(w).cast("long").alias("number")), batch.groupBy(*keys).agg(F.count("*").alias("n"))
+        if n:
+            held = batch.sparkSession.read.parquet(f"{folder}/counts").filter(F.col("batch").between(n // every * every - 1, n - 1)).drop("batch")
+            before = held.groupBy(*keys).agg(F.sum("n").alias("before"))
+            same = [rows[k].eqNullSafe(before[k]) for k in keys]
+            rows = rows.join(before, same, "left").select("event_id", (F.col("number") + F.coalesce("before", F.lit(0))).alias("number"))
+            if n % every == every - 1:
+                counts = held.unionByName(counts).groupBy(*keys).agg(F.sum("n").alias("n"))
+        rows.select("event_id", "number").write.mode("overwrite").parquet(f"{folder}/table/batch={n}")
+        counts.write.mode("overwrite").parquet(f"{folder}/counts/batch={n}")
+
+    q = stream.writeStream.option("checkpointLocation", f"{folder}/state").foreachBatch(write).trigger(**(trigger or {"availableNow": True})).start()
+    q.awaitTermination()
+    return stream.sparkSession.read.parquet(f"{folder}/table").drop("batch")
+
 
-    return keyed(stream, ["event_type", "user_id", "day"], "n int", (0,), step, "event_id long, level string")
+def throttle(stream: DataFrame, normal: int = 3, reduced: int = 8, trigger: dict | None = None) -> DataFrame:
+    n = F.col("number")
+    level = F.when(n <= normal, "normal").when(n <= reduced, "reduced").otherwise("blocked")
+    return numbered(stream, "throttle", ["event_type", "user_id", "day"], trigger).select("event_id", level.alias("level"))
 
 
 def budget(stream: DataFrame, window: int, percent: int = 70) -> DataFrame:

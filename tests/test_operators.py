@@ -312,3 +312,17 @@ def test_a_phrase_of_long_words_and_of_a_long_text(spark):
 
     df = spark.createDataFrame([(0, " ".join(["x" * 3000, "y"] * 300)), (1, "p q r stuvwxyz " * 90000)], "id int, text string")
     assert phrases.top_ngrams(df, most=7).collect() == mining.ngrams(df, "id").orderBy(F.desc("savings"), "gram").limit(7).collect()
+
+
+def test_throttle_goes_on_over_batches(spark, tmp_path):
+    from quillgrid.streaming import streams
+
+    rows = [(k, f"2024-01-01 00:{k // 60:02}:{k % 60:02}", None if k % 3 == 0 else k % 2, "view" if k % 5 else None) for k in range(180)]
+    for part in range(18):
+        spark.createDataFrame(rows[10 * part : 10 * part + 10], "event_id long, ts string, user_id long, event_type string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    stream = streams.event_stream(spark, f"{tmp_path}/events.parquet", 1).withColumn("day", F.to_date("ts"))
+    seen, expected = {}, {}
+    for k, _, user, kind in rows:
+        n = seen[user, kind] = seen.get((user, kind), 0) + 1
+        expected[k] = "normal" if n <= 3 else "reduced" if n <= 8 else "blocked"
+    assert {r["event_id"]: r["level"] for r in streams.throttle(stream).collect()} == expected
