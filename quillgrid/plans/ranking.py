@@ -144,7 +144,7 @@ def bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 def phrase_legend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with the mined phrases replaced after their first occurrence."""
     docs = table(spark, sf_dir, "documents")
-    return M.apply_legend(docs, "doc_id", M.ngrams(docs, "doc_id"), 20)
+    return M.apply_legend(docs, "doc_id", P.top_ngrams(docs, most=20), 20)
 
 
 @query()
